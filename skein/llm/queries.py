@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, common, packing, sharding, warc
+from skein.llm import ann, bpe, common, neardup, packing, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.fresh_dir(spark, "warc")
     index = warc.write_bundles(_read(spark, sf_dir, "pages"), out)
@@ -35,8 +39,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.PATTERN)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_warc, op4_bpe, op8_sharding, op9_packing]
+    own = [op2_embedding_neardup, op3_warc, op4_bpe, op8_sharding, op9_packing, op10_ann]
     return {f.__name__: f for f in own}
 
 
