@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, bpe, common, neardup, packing, sharding, toxicity, warc
+from skein.llm import ann, bpe, common, jaccard, neardup, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"), 80, 5)
+
+
 def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.95)
 
@@ -51,7 +55,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_embedding_neardup, op3_warc, op4_bpe, op7_toxicity, op8_sharding, op9_packing, op10_ann]
+    own = [op1_ngram_jaccard, op2_embedding_neardup, op3_warc, op4_bpe, op7_toxicity, op8_sharding, op9_packing, op10_ann]
     return {f.__name__: f for f in own}
 
 
