@@ -1,12 +1,57 @@
-"""A corpus pipeline from operators of skein.llm; each stage is written and reread."""
+"""A corpus pipeline from operators of skein.llm.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
+is written as Parquet and reread before the next. All stages but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import common, jaccard, linededup, packing, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of the labelled rows scores at 0.7 or more go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject(docs, model, 0.7)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more leave all but the first document that has them;
+    a document of which nothing is left goes. Texts that lose nothing stay as they are."""
+    out = linededup.dedup_lines(docs)
+    out = out.filter((F.col("removed_lines") == 0) | (F.length("text") > 0))
+    changed = F.when(F.col("removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8) stays."""
+    return jaccard.keep_one(docs, 80, 5)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_passages),
+    ("ngram_jaccard", drop_near_copies),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: No SQL: a fitted model, content-defined chunks and a tokenizer; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
