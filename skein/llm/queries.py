@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, bpe, common, jaccard, linededup, neardup, packing, sharding, toxicity, warc
+from skein.llm import ann, bpe, common, jaccard, linededup, lm, neardup, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score_documents(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "removed_lines", "text")
@@ -60,9 +65,9 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard, op2_embedding_neardup, op3_warc, op4_bpe, op6_line_dedup, op7_toxicity, op8_sharding, op9_packing, op10_ann]
+    own = [op1_ngram_jaccard, op2_embedding_neardup, op3_warc, op4_bpe, op5_lm_scoring, op6_line_dedup, op7_toxicity, op8_sharding, op9_packing, op10_ann]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lm_scoring": lm.SQL}
