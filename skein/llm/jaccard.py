@@ -12,8 +12,11 @@ all documents: any order gives right results, the counts only make it a good one
 
 Groups of copies. Every posting list first links its members to its smallest
 member only, which is linear. Verified links make components, and only lists with
-members of several components go on to the pairwise step, for pairs of different
-components. A pair inside one component would change nothing.
+members of several components go on: a pair inside one component would change
+nothing. What is left of a large group of near copies consists of documents far
+from its pivot; two of those can only link if they share shingles that the pivot
+lacks, which are rare, so they are joined on these instead of the common ones.
+Pairs without a common pivot are joined on their prefixes.
 """
 
 from __future__ import annotations
@@ -139,6 +142,13 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, percent: int, size: int) -> D
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, first long, l int, prefix array<long>")
 
 
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(x, y, tx, ty): the pairs with both texts, rows of one x next to each other."""
+    texts = docs.select("doc_id", "text")
+    with_x = pairs.select("x", "y").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
+    return with_x.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (x, y) whose whole sets reach the threshold."""
 
@@ -157,10 +167,36 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
                 ok.append(both > 0 and 100 * both >= percent * (len(kept) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    texts = docs.select("doc_id", "text")
-    with_x = pairs.select("x", "y").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
-    both = with_x.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
-    return common.materialize(both.mapInArrow(run, "x long, y long").distinct(), "verified")
+    out = common.materialize(_with_texts(pairs, docs).mapInArrow(run, "x long, y long").distinct(), "verified")
+    common.release(docs.sparkSession)
+    return out
+
+
+def _attach(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """For pairs (pivot x, document y) that share half of each set: whether they
+    link, the sizes, how many of the pivot's shingles y lacks, and those that y has besides."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("added", pa.list_(pa.int64()))])
+        last, kept = None, None
+        for batch in batches:
+            rows = []
+            for x, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if x != last:
+                    last, kept = x, shingle_set(a.as_py(), size)
+                t = shingle_set(b.as_py(), size)
+                added = np.setdiff1d(t, kept, assume_unique=True)
+                both = len(t) - len(added)
+                if 2 * both >= max(len(t), len(kept), 1):
+                    rows.append({"pivot": x, "doc_id": y, "linked": 100 * both >= percent * (len(kept) + len(added)), "h": len(kept), "n": len(t), "r": len(kept) - both, "added": added.view(np.int64)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    out = _with_texts(pairs, docs).mapInArrow(run, "pivot long, doc_id long, linked boolean, h long, n long, r long, added array<long>")
+    out = common.materialize(out.dropDuplicates(["pivot", "doc_id"]), "attached")
+    common.release(docs.sparkSession)
+    return out
 
 
 def join(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,38 +222,86 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
     # shingles of the prefix that no other prefix has cannot be shared: they bound every overlap
     own = posted.groupBy("doc_id").agg(F.count("*").alias("c"))
     own = rows.filter("l > 0").select("doc_id", "n", "l", F.size("prefix").alias("p")).join(own, "doc_id")
-    own = own.filter("c >= l").selectExpr("doc_id", "n", "l", "n - (p - c) as most")
+    own = own.filter("c >= l").selectExpr("doc_id", "n", "l", "n - (p - c) as most", "n - p as rest")
     own = common.materialize(own, "bounds")
-    fits = f"{100 + percent} * least(a.most, b.most) >= {percent} * (a.n + b.n) and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        a, b = own.alias("a"), own.alias("b")
-        met = pairs.join(a, F.col("x") == F.col("a.doc_id")).join(b, F.col("y") == F.col("b.doc_id"))
-        return met.filter(F.expr(fits) & F.expr("c >= least(a.l, b.l)")).select("x", "y")
+    both = 100 + percent
+    fits = f"{both} * least(a.most, b.most) >= {percent} * (a.n + b.n) and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    # whichever prefix ends first in the order, what it leaves out is in its rest, and all else is among the c matches
+    enough = f"c >= least(a.l, b.l) and {both} * (c + greatest(a.rest, b.rest)) >= {percent} * (a.n + b.n)"
 
+    # lists' smallest members
     stars = posted.filter("doc_id <> hub").groupBy(F.col("hub").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("c"))
+    stars = stars.join(own.alias("a"), F.col("x") == F.col("a.doc_id")).join(own.alias("b"), F.col("y") == F.col("b.doc_id"))
+    stars = stars.filter(F.expr(fits) & F.expr("c >= least(a.l, b.l)")).select("x", "y")
     links = rows.filter("first is not null").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
-    near = _verify(bounded(stars), docs, percent, size).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    common.release(spark)
-    links = links.unionByName(near)
+    links = links.unionByName(_verify(stars, docs, percent, size).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+
+    def mixed(posted: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+        """The postings of lists with several components."""
+        placed = posted.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("k", F.coalesce("component", "doc_id")).drop("component")
+        several = placed.groupBy("token").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 < k1").select("token")
+        return common.materialize(placed.join(several, "token"), name)
+
+    comp = common.materialize(common.connected_components(links), "components")
+    placed = mixed(posted.select("token", "doc_id").join(own.select("doc_id"), "doc_id"), comp, "mixed")
+
+    # A pivot for each document that is left: the smallest member of its lists, twice over. Documents
+    # that share half with their pivot are known by what they lack and add, see _same_pivot.
+    lows = placed.groupBy("token").agg(F.min("doc_id").alias("low"))
+    up = common.materialize(placed.join(lows, "token").groupBy("doc_id").agg(F.min("low").alias("up")), "pivots")
+    pivots = up.alias("a").join(up.alias("b"), F.expr("a.up = b.doc_id")).selectExpr("b.up as x", "a.doc_id as y").filter("x <> y")
+    attached = _attach(pivots, docs, percent, size)
+    links = links.unionByName(attached.filter("linked").select(F.col("pivot").alias("src"), F.col("doc_id").alias("dst")))
     comp = common.materialize(common.connected_components(links), "components")
 
-    placed = posted.join(own, "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("token", "doc_id", "n", "l", "most", F.coalesce("component", "doc_id").alias("k"))
-    mixed = placed.groupBy("token").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 < k1").select("token")
-    placed = common.materialize(placed.join(mixed, "token"), "mixed")
+    placed = mixed(placed.select("token", "doc_id"), comp, "mixed")
+    placed = placed.join(attached.select("doc_id", "pivot"), "doc_id", "left").withColumn("g", F.coalesce("pivot", "doc_id")).drop("pivot")
+    several = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 < g1").select("token")
+    placed = common.materialize(placed.join(several, "token").join(own, "doc_id"), "mixed")
     a, b = placed.alias("a"), placed.alias("b")
-    across = a.join(b, F.expr(f"a.token = b.token and a.doc_id < b.doc_id and a.k <> b.k and {fits}"))
-    across = across.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.expr("least(a.l, b.l)").alias("l"))
-    across = across.groupBy("x", "y", "l").agg(F.count("*").alias("c")).filter("c >= l").select("x", "y")
+    across = a.join(b, F.expr(f"a.token = b.token and a.doc_id < b.doc_id and a.k <> b.k and a.g <> b.g and {fits}"))
+    across = across.groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).agg(
+        F.count("*").alias("c"), *[F.first(f"{t}.{v}").alias(f"{t}_{v}") for t in "ab" for v in ("n", "l", "rest")])
+    across = across.filter(enough.replace("a.", "a_").replace("b.", "b_")).select("x", "y")
+    across = across.unionByName(_same_pivot(attached, comp, percent)).distinct()
     rest = _verify(across, docs, percent, size).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    common.release(spark)
 
     comp = common.connected_components(links.unionByName(rest))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _same_pivot(attached: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components with one pivot that can still link.
+
+    With h the pivot's size, r what a document lacks of it and s the number of added
+    shingles both share, their overlap is at most h - max(r) + s. So either they
+    share an added shingle, and are found by it, or s = 0 and the sizes alone
+    decide; one of the two does not link with the pivot, which with s = 0 leaves
+    only partners smaller than the pivot.
+    """
+    both = 100 + percent
+    at = attached.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("k", F.coalesce("component", "doc_id"))
+    at = common.materialize(at.select("pivot", "doc_id", "linked", "h", "n", "r", "k", "added"), "group")
+
+    added = at.select("pivot", "doc_id", "n", "r", "h", "k", F.explode("added").alias("token"))
+    several = added.groupBy("pivot", "token").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 < k1").select("pivot", "token")
+    added = added.join(several, ["pivot", "token"])
+    a, b = added.alias("a"), added.alias("b")
+    sharing = a.join(b, F.expr("a.pivot = b.pivot and a.token = b.token and a.doc_id < b.doc_id and a.k <> b.k"))
+    sharing = sharing.groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.expr("a.n + b.n").alias("n"), F.expr("a.h - greatest(a.r, b.r)").alias("m")).agg(F.count("*").alias("s"))
+    sharing = sharing.filter(f"{both} * (m + s) >= {percent} * n").select("x", "y")
+
+    # s = 0: both * (h - r) >= percent * (n + partner's n) for either side
+    sizes = at.select("pivot", "doc_id", "linked", "n", "k", F.expr(f"floor({both} * (h - r) / {percent}) - n").alias("room"), (F.col("n") < F.col("h")).alias("less"))
+    least = sizes.groupBy("pivot").agg(F.min("n").alias("n0"))
+    a = sizes.filter("not linked").join(least, "pivot").filter("room >= n0").alias("a")
+    b = sizes.filter("less").alias("b")
+    alone = a.join(b, F.expr("a.pivot = b.pivot and a.doc_id <> b.doc_id and a.k <> b.k and a.room >= b.n and b.room >= a.n"))
+    alone = alone.select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y"))
+    return sharing.unionByName(alone)
+
+
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of docs, all columns, without those whose group has a document of
     smaller id; rows with a null id stay."""
