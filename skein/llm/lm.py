@@ -31,7 +31,7 @@ BACKOFF = 0.4
 #: A word with this share of all words is spread over all partitions.
 HOT_SHARE = 0.001
 #: Words that a task holds before it hands on a block.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 1_500_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,25 +42,47 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def _dictionary(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A column by its distinct values: the least, the steps to the next ones byte by
+    byte (the high bytes are alike), codes, and a place of each value."""
+    values, at, codes = np.unique(v.view(np.uint64), return_index=True, return_inverse=True)
+    steps = np.diff(values).view(np.uint8).reshape(-1, 8).T.copy()
+    if (codes[1:] >= codes[:-1]).all():  # a sorted column needs its runs' lengths only
+        return values[:1], steps, (_small(np.bincount(codes)),), at
+    return values[:1], steps, _small(codes), at
+
+
 def pack(**columns: np.ndarray) -> bytes:
-    """Columns as one compressed block; hashes and ids (names in capitals) by dictionary."""
+    """Columns as one compressed block; hashes and ids (names in capitals) by
+    dictionary, n_doc (which DOC determines) once for each value of DOC."""
     import zstandard
 
-    out = {}
+    out, n_doc = {}, columns.pop("n_doc", None)
     for k, v in columns.items():
         if k.isupper():
-            values, codes = np.unique(v, return_inverse=True)
-            out[k] = values, _small(codes)
+            first, steps, codes, at = _dictionary(v)
+            out[k] = first, steps, codes, _small(n_doc[at]) if k == "DOC" and n_doc is not None else None
         else:
             out[k] = _small(v) if v.dtype.kind in "ui" else v
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(out, protocol=5))
 
 
 def unpack(block: bytes) -> dict[str, np.ndarray]:
     import zstandard
 
-    out = pickle.loads(zstandard.ZstdDecompressor().decompress(block))
-    return {k: v[0][v[1]] if isinstance(v, tuple) else v for k, v in out.items()}
+    out = {}
+    for k, v in pickle.loads(zstandard.ZstdDecompressor().decompress(block)).items():
+        if isinstance(v, tuple):
+            first, steps, codes, n_doc = v
+            if isinstance(codes, tuple):
+                codes = np.repeat(np.arange(len(codes[0])), codes[0])
+            values = np.cumsum(np.r_[first, np.ascontiguousarray(steps.T).view(np.uint64).reshape(-1)], dtype=np.uint64)
+            out[k] = values[codes].view(np.int64) if k == "DOC" else values[codes]
+            if n_doc is not None:
+                out["n_doc"] = n_doc[codes]
+        else:
+            out[k] = v
+    return out
 
 
 def _table(blocks) -> dict[str, np.ndarray]:
@@ -72,10 +94,10 @@ def _table(blocks) -> dict[str, np.ndarray]:
 def _split(part: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A block for each partition that has rows."""
     order = np.argsort(part, kind="stable")
-    part, columns = part[order], {k: v[order] for k, v in columns.items()}
+    part = part[order]
     starts = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0] if len(part) else []
     for a, b in zip(starts, [*starts[1:], len(part)]):
-        yield int(part[a]), pack(**{k: v[a:b] for k, v in columns.items()})
+        yield int(part[a]), pack(**{k: v[order[a:b]] for k, v in columns.items()})
 
 
 def _batches(batches: Iterator, texts: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -139,31 +161,37 @@ def exploded(ids: list, words: list[np.ndarray], hot: _Hot, parts: int) -> Itera
         return
     n = np.array([len(w) for w in words])
     vocab, code = np.unique(np.concatenate(words), return_inverse=True)
-    doc = np.repeat(np.arange(len(ids)), n)
+    code = code.astype(np.int32)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), n)
     first = np.zeros(len(code), bool)
     first[np.cumsum(n) - n] = True
     size = np.int64(len(vocab))
     _, at, per = np.unique(doc * size + code, return_inverse=True, return_counts=True)
-    in_doc = per[at]  # the word's occurrences in its document
-    before = np.r_[0, code[:-1]]
+    in_doc = per.astype(np.int32)[at]  # the word's occurrences in its document
+    del at, per
+    before = np.r_[np.int32(0), code[:-1]]
     # the occurrences of a context are the word's, less the one that ends the document
     last = code[np.cumsum(n) - 1]
-    as_context = np.r_[0, in_doc[:-1]] - (before == last[doc])
+    as_context = np.r_[np.int32(0), in_doc[:-1]] - (before == last[doc])
     key = (doc * size + before) * size + code
     key[first] = -1 - doc[first]
     _, one, count = np.unique(key, return_index=True, return_counts=True)
+    del key
     v, w, d, first = vocab[before[one]], vocab[code[one]], doc[one], first[one]
     spread = first | hot.find(v)[0]
     part = _part(np.where(spread, v * _M + w, v), parts)
-    order = np.lexsort((w, v, part))
+    # by context, so that its codes pack to almost nothing
+    order = np.argsort(v, kind="stable")
     cols = {"DOC": np.array(ids, np.int64)[d], "V": v, "W": w, "n": count, "first": first.astype(np.uint8), "v_doc": as_context[one] * ~first, "w_doc": in_doc[one], "n_doc": n[d]}
-    yield from _split(part[order], **{k: x[order] for k, x in cols.items()})
+    for k in cols:
+        cols[k] = cols[k][order]
+    yield from _split(part[order], **cols)
 
 
 def _sums(doc: np.ndarray, score: np.ndarray, parts: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
     ids, at = np.unique(doc, return_inverse=True)
     total = np.bincount(at, weights=score, minlength=len(ids))
-    for p, b in _split(_part(ids.astype(np.uint64), parts), DOC=ids, s=total):
+    for p, b in _split(_part(ids.view(np.uint64), parts), DOC=ids, s=total):
         yield kind, p, b
 
 
@@ -225,7 +253,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = ~met & ~w_hot
         if rest.any():
             r = {k: t[k][rest] for k in ("DOC", "W", "n", "w_doc", "n_doc")}
-            order = np.lexsort((r["DOC"], r["W"]))
+            order = np.argsort(r["W"], kind="stable")
             r = {k: v[order] for k, v in r.items()}
             out += [(1, p, b) for p, b in _split(_part(r["W"], parts), **r)]
         return _blocks(out)
