@@ -72,23 +72,37 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, hash long, line int, words array<int>")
 
 
-def _spans_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text of the wanted spans (doc_id, key, line, n)."""
-    each = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.struct("line", "n")).alias("spans"))  # at most a document's lines
+def _spans_text(base: DataFrame, wanted: DataFrame, at: int) -> DataFrame:
+    """The text of the wanted spans (doc_id, key, line, n), once each.
+
+    base: documents with _ld_doc and _ld_key. All its columns go through the join,
+    so that the exchange is the one that dedup_lines joins the cuts to: the texts
+    are shuffled once.
+    """
+    each = wanted.groupBy(F.col("doc_id").alias("_ld_d"), F.col("key").alias("_ld_k")).agg(F.collect_set(F.struct("line", "n")).alias("_ld_spans"))  # at most a document's lines
+    n_cols = len(base.columns)
+    d, k = base.columns.index("_ld_doc"), base.columns.index("_ld_key")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for d, k, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = lines_of(text)
-                rows += [(d, k, s["line"], s["n"], "\n".join(lines[s["line"] : s["line"] + s["n"]])) for s in spans]
+            for doc, key, text, spans in zip(batch.column(d).to_pylist(), batch.column(k).to_pylist(), batch.column(at), batch.column(n_cols)):
+                if not spans.is_valid:
+                    continue
+                lines = lines_of(text.as_py())
+                rows += [(doc, key, s["line"], s["n"], "\n".join(lines[s["line"] : s["line"] + s["n"]])) for s in spans.as_py()]
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "key", "line", "n", "bytes"])
 
-    found = docs.join(each, ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
-    return found.mapInArrow(run, "doc_id long, key long, line int, n int, bytes string").distinct()
+    found = base.join(each.hint("merge"), (F.col("_ld_doc") == F.col("_ld_d")) & (F.col("_ld_key") == F.col("_ld_k")), "left").select(*base.columns, "_ld_spans")
+    return found.mapInArrow(run, "doc_id long, key long, line int, n int, bytes string").dropDuplicates(["doc_id", "key", "line", "n"])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with its id as a long and a hash of its text, by which rows are found again."""
+    return docs.select("*", F.col(id_col).cast("long").alias("_ld_doc"), F.xxhash64(F.col(text_col).cast("string")).alias("_ld_key"))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,11 +110,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     words at least, that equal the lines from kept_line in the earlier document
     kept_in. key: xxhash64 of the text; lines are counted without blank ones."""
     common.tune(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    chunks = common.materialize(_chunks(docs), "chunks")
+    base = _keyed(docs, id_col, text_col)
+    rows = base.select(F.col("_ld_doc").alias("doc_id"), F.col("_ld_key").alias("key"), F.col(text_col).cast("string").alias("text"))
+    chunks = common.materialize(_chunks(rows), "chunks")
     first = chunks.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "line")).alias("k"), F.max("doc_id").alias("last"))
     first = first.filter("k.doc_id < last").select("hash", F.col("k.doc_id").alias("k_doc"), F.col("k.key").alias("k_key"), F.col("k.line").alias("k_line"))
-    again = chunks.join(first, "hash").filter("doc_id > k_doc")
+    # written, so that the join reads two plain exchanges and splits the partition of a hot line
+    again = chunks.join(common.materialize(first, "repeated").hint("merge"), "hash").filter("doc_id > k_doc")
     again = again.select("doc_id", "key", "line", "k_doc", "k_key", "k_line", F.posexplode("words").alias("at", "w"))
     again = again.selectExpr("doc_id", "key", "line + at as line", "k_doc", "k_key", "line - k_line as shift", "w").distinct()
     # lines next to each other, aligned with the same earlier document, are one run
@@ -109,12 +125,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         F.min("line").alias("line"), F.count("*").cast("int").alias("n"), F.sum("w").alias("words"))
     runs = runs.filter(F.col("words") >= min_words).selectExpr("doc_id", "key", "line", "n", "words", "k_doc", "k_key", "line - shift as k_line")
     runs = common.materialize(runs, "runs")
+    common.release(docs.sparkSession)
     own = runs.select("doc_id", "key", "line", "n")
     kept = runs.select(F.col("k_doc").alias("doc_id"), F.col("k_key").alias("key"), F.col("k_line").alias("line"), "n")
-    text = common.materialize(_spans_text(docs, own.unionByName(kept)), "spans")
-    common.release(docs.sparkSession)
+    text = _spans_text(base, own.unionByName(kept), docs.columns.index(text_col))
     there = text.select(F.col("doc_id").alias("k_doc"), F.col("key").alias("k_key"), F.col("line").alias("k_line"), "n", F.col("bytes").alias("kept"))
-    same = runs.join(text, ["doc_id", "key", "line", "n"]).join(there, ["k_doc", "k_key", "k_line", "n"]).filter("bytes = kept")
+    same = runs.join(text.hint("merge"), ["doc_id", "key", "line", "n"]).join(there.hint("merge"), ["k_doc", "k_key", "k_line", "n"]).filter("bytes = kept")
     return same.select("doc_id", "key", "line", "n", "words", F.col("k_doc").alias("kept_in"), F.col("k_line").alias("kept_line"))
 
 
@@ -130,9 +146,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     common.tune(docs.sparkSession)
     docs = docs.drop("removed_lines")
     spans = repeated_spans(docs, min_words, id_col, text_col)
-    cut = spans.groupBy(F.col("doc_id").alias("_ld_doc"), F.col("key").alias("_ld_key")).agg(F.collect_set(F.struct("line", "n")).alias("_ld_cut"))
+    cut = spans.groupBy(F.col("doc_id").alias("_ld_d"), F.col("key").alias("_ld_k")).agg(F.collect_set(F.struct("line", "n")).alias("_ld_cut"))
     schema = T.StructType([*docs.schema.fields, T.StructField("removed_lines", T.LongType())])
-    at = docs.columns.index(text_col)
+    at, n_cols = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -144,22 +160,26 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
                 gone: set[int] = set()
                 for s in spans or ():
                     gone.update(range(s["line"], s["line"] + s["n"]))
-                if gone:
-                    out, i, blanks = [], 0, []
-                    for x in text.split("\n"):
-                        if not x.strip():
-                            blanks.append(x)
-                            continue
-                        if i not in gone:
-                            out += [*blanks, x]
-                        blanks = []  # blank lines go with the line after them
-                        i += 1
-                    text = "\n".join([*out, *blanks] if out else [])
-                texts.append(text)
+                texts.append(_without(text, gone) if gone else text)
                 removed.append(len(gone))
-            cols = list(batch.columns[:-1])
+            cols = list(batch.columns[:n_cols])
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "removed_lines"])
-
-    joined = docs.join(cut, (docs[id_col].cast("long") == F.col("_ld_doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_ld_key")), "left")
-    return joined.select(*[docs[c] for c in docs.columns], "_ld_cut").mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*batch.schema.names[:n_cols], "removed_lines"])
+
+    base = _keyed(docs, id_col, text_col)
+    joined = base.join(cut.hint("merge"), (F.col("_ld_doc") == F.col("_ld_d")) & (F.col("_ld_key") == F.col("_ld_k")), "left")
+    return joined.select(*base.columns, "_ld_cut").mapInArrow(run, schema)
+
+
+def _without(text: str, gone: set[int]) -> str:
+    """The text without the numbered lines and the blank lines before them."""
+    out, i, blanks = [], 0, []
+    for x in text.split("\n"):
+        if not x.strip():
+            blanks.append(x)
+            continue
+        if i not in gone:
+            out += [*blanks, x]
+        blanks = []
+        i += 1
+    return "\n".join([*out, *blanks] if out else [])
