@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.storage import fresh_dir, materialize, shared_dir
+
+__all__ = ["connected_components", "fresh_dir", "materialize", "release", "shared_dir", "tune"]
+
 #: Rows a Python worker gets at once; texts can be long, so far below Spark's default.
 ARROW_ROWS = 1000
 
@@ -18,41 +21,13 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is spark.checkpoint.dir where the cluster names one. Where it is unset
-    (tests in local mode) a temporary folder of the driver stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = os.path.join(tempfile.gettempdir(), f"skein-{spark.sparkContext.applicationId}")
-    os.makedirs(root, exist_ok=True)
-    return "file://" + root
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage
-    ends there, and a lost executor costs no more than rereading files."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that are done with;
     the cleaner acts when the driver's JVM collects its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's handles go first, then what only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

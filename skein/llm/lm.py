@@ -31,7 +31,9 @@ BACKOFF = 0.4
 #: A word with this share of all words is spread over all partitions.
 HOT_SHARE = 0.001
 #: Words that a task holds before it hands on a block.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_200_000
+#: Rows of a partition that are scored at once.
+STEP_ROWS = 600_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,6 +224,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     unigrams = common.materialize(_counts(docs), "unigrams")
+    common.release(spark)
     total = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     hot = _Hot(unigrams.filter(F.col("c") >= max(1, math.ceil(total * HOT_SHARE))).collect(), total)  # 1 / HOT_SHARE rows at most
 
@@ -233,15 +236,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "block"])
 
     def bigrams(key, t):
-        t = _table(t.column("block"))
-        first, is_hot = t["first"].astype(bool), None
+        parts_in = [unpack(b.as_py()) for b in t.column("block")]
+        del t
+        # some contexts at a time, so that a task's memory stays near that of its rows
+        n = max(1, -(-sum(len(p["n"]) for p in parts_in) // STEP_ROWS))
+        groups = [(mix(p["V"] ^ _M) % np.uint64(n)).astype(np.uint16) for p in parts_in]
+        out = []
+        for k in range(n):
+            at = [np.nonzero(x == k)[0] for x in groups]
+            out += score_contexts({c: np.concatenate([p[c][i] for p, i in zip(parts_in, at)]) for c in parts_in[0]})
+        return _blocks(out)
+
+    def score_contexts(t):
+        first = t["first"].astype(bool)
         n = t["n"].astype(np.int64)
         _, at = np.unique(mix(t["V"] * _M + t["W"]), return_inverse=True)
         pair = np.bincount(at, weights=n * ~first)[at].astype(np.int64) - n
         _, at = np.unique(t["V"], return_inverse=True)
         context = np.bincount(at, weights=n * ~first)[at].astype(np.int64)
-        is_hot, place = hot.find(t["V"])
         if len(hot.w):
+            is_hot, place = hot.find(t["V"])
             context = np.where(is_hot, hot.x[place], context)
         context = context - t["v_doc"].astype(np.int64)
         met = ~first & (pair > 0)
@@ -254,9 +268,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if rest.any():
             r = {k: t[k][rest] for k in ("DOC", "W", "n", "w_doc", "n_doc")}
             order = np.argsort(r["W"], kind="stable")
-            r = {k: v[order] for k, v in r.items()}
-            out += [(1, p, b) for p, b in _split(_part(r["W"], parts), **r)]
-        return _blocks(out)
+            out += [(1, p, b) for p, b in _split(_part(r["W"][order], parts), **{k: v[order] for k, v in r.items()})]
+        return out
 
     def unigram(key, table, t):
         if not t.num_rows:
