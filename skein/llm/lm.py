@@ -241,11 +241,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # some contexts at a time, so that a task's memory stays near that of its rows
         n = max(1, -(-sum(len(p["n"]) for p in parts_in) // STEP_ROWS))
         groups = [(mix(p["V"] ^ _M) % np.uint64(n)).astype(np.uint16) for p in parts_in]
-        out = []
+        out, ids, sums = [], [], []
         for k in range(n):
             at = [np.nonzero(x == k)[0] for x in groups]
-            out += score_contexts({c: np.concatenate([p[c][i] for p, i in zip(parts_in, at)]) for c in parts_in[0]})
-        return _blocks(out)
+            doc, score, rest = score_contexts({c: np.concatenate([p[c][i] for p, i in zip(parts_in, at)]) for c in parts_in[0]})
+            doc, at = np.unique(doc, return_inverse=True)
+            ids.append(doc)
+            sums.append(np.bincount(at, weights=score, minlength=len(doc)))
+            out += rest
+        return _blocks([*out, *_sums(np.concatenate(ids), np.concatenate(sums), parts, 0)])
 
     def score_contexts(t):
         first = t["first"].astype(bool)
@@ -263,13 +267,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         w_hot, place = hot.find(t["W"])
         if len(hot.w):
             score = score + np.where(~met & w_hot, _unigram(hot.c[place], t, hot), 0.0)
-        out = list(_sums(t["DOC"], score, parts, 0))
+        out = []
         rest = ~met & ~w_hot
         if rest.any():
             r = {k: t[k][rest] for k in ("DOC", "W", "n", "w_doc", "n_doc")}
             order = np.argsort(r["W"], kind="stable")
             out += [(1, p, b) for p, b in _split(_part(r["W"][order], parts), **{k: v[order] for k, v in r.items()})]
-        return out
+        return t["DOC"], score, out
 
     def unigram(key, table, t):
         if not t.num_rows:
