@@ -30,3 +30,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package, where neither PYTHONPATH nor the
+    working folder does: Spark's own file server hands them a zip of it."""
+    import zipfile
+
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, app = os.path.dirname(package), spark.sparkContext.applicationId
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _SHIPPED or root in known or os.getcwd() == root:
+        return
+    path = os.path.join(tempfile.mkdtemp(), "skein.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
