@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.storage import fresh_dir, materialize, shared_dir
+from skein.storage import fresh_dir, materialize, shared_dir, ship_package
 
 __all__ = ["connected_components", "fresh_dir", "materialize", "release", "shared_dir", "tune"]
 
@@ -19,6 +19,7 @@ ARROW_ROWS = 1000
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a worker's memory doesn't follow the text length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ship_package(spark)
 
 
 def release(spark: SparkSession) -> None:

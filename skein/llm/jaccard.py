@@ -14,9 +14,9 @@ Groups of copies. Every posting list first links its members to its smallest
 member only, which is linear. Verified links make components, and only lists with
 members of several components go on: a pair inside one component would change
 nothing. What is left of a large group of near copies consists of documents far
-from its pivot; two of those can only link if they share shingles that the pivot
-lacks, which are rare, so they are joined on these instead of the common ones.
-Pairs without a common pivot are joined on their prefixes.
+from its pivot. Each is kept as what it lacks of the pivot and what it adds, which
+gives the exact overlap of any two; they are compared in blocks, and a block
+returns stars, not pairs. Pairs without a common pivot are joined on their prefixes.
 """
 
 from __future__ import annotations
@@ -174,12 +174,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
 
 def _attach(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """For pairs (pivot x, document y) that share half of each set: whether they
-    link, the sizes, how many of the pivot's shingles y lacks, and those that y has besides."""
+    link, the sizes, which of the pivot's shingles y lacks, and which it adds."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("added", pa.list_(pa.int64()))])
+        schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("n", pa.int64()), ("lacked", pa.list_(pa.int64())), ("added", pa.list_(pa.int64()))])
         last, kept = None, None
         for batch in batches:
             rows = []
@@ -190,10 +190,10 @@ def _attach(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
                 added = np.setdiff1d(t, kept, assume_unique=True)
                 both = len(t) - len(added)
                 if 2 * both >= max(len(t), len(kept), 1):
-                    rows.append({"pivot": x, "doc_id": y, "linked": 100 * both >= percent * (len(kept) + len(added)), "h": len(kept), "n": len(t), "r": len(kept) - both, "added": added.view(np.int64)})
+                    rows.append({"pivot": x, "doc_id": y, "linked": 100 * both >= percent * (len(kept) + len(added)), "h": len(kept), "n": len(t), "lacked": np.setdiff1d(kept, t, assume_unique=True).view(np.int64), "added": added.view(np.int64)})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    out = _with_texts(pairs, docs).mapInArrow(run, "pivot long, doc_id long, linked boolean, h long, n long, r long, added array<long>")
+    out = _with_texts(pairs, docs).mapInArrow(run, "pivot long, doc_id long, linked boolean, h long, n long, lacked array<long>, added array<long>")
     out = common.materialize(out.dropDuplicates(["pivot", "doc_id"]), "attached")
     common.release(docs.sparkSession)
     return out
@@ -263,43 +263,104 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
     across = across.groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).agg(
         F.count("*").alias("c"), *[F.first(f"{t}.{v}").alias(f"{t}_{v}") for t in "ab" for v in ("n", "l", "rest")])
     across = across.filter(enough.replace("a.", "a_").replace("b.", "b_")).select("x", "y")
-    across = across.unionByName(_same_pivot(attached, comp, percent)).distinct()
     rest = _verify(across, docs, percent, size).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    links = links.unionByName(rest).unionByName(_same_pivot(attached, comp, percent))
 
-    comp = common.connected_components(links.unionByName(rest))
+    comp = common.connected_components(links)
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _same_pivot(attached: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components with one pivot that can still link.
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each set of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    va, vb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(va, vb)
+    ia, ib = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    ka, kb = np.searchsorted(both, va), np.searchsorted(both, vb)
+    oka, okb = np.isin(va, both), np.isin(vb, both)
+    for c in range(0, len(both), 4096):
+        m = oka & (ka >= c) & (ka < c + 4096), okb & (kb >= c) & (kb < c + 4096)
+        x, y = np.zeros((len(a), min(4096, len(both) - c)), np.float32), np.zeros((len(b), min(4096, len(both) - c)), np.float32)
+        x[ia[m[0]], ka[m[0]] - c] = 1
+        y[ib[m[1]], kb[m[1]] - c] = 1
+        out += x @ y.T
+    return out
+
+
+def _same_pivot(attached: DataFrame, comp: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Links (src, dst) between documents of one pivot, at least enough of them to
+    join their components.
 
-    With h the pivot's size, r what a document lacks of it and s the number of added
-    shingles both share, their overlap is at most h - max(r) + s. So either they
-    share an added shingle, and are found by it, or s = 0 and the sizes alone
-    decide; one of the two does not link with the pivot, which with s = 0 leaves
-    only partners smaller than the pivot.
+    With h the pivot's size, two documents share exactly h - |both lack lists joined|
+    + |both added lists met| shingles, so their lists decide and no text is read
+    again. Documents of the pivot's own component are not compared with each
+    other; the others are compared with all of the pivot's in blocks, and a block
+    returns a link or none for each document, never its pairs.
     """
-    both = 100 + percent
-    at = attached.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("k", F.coalesce("component", "doc_id"))
-    at = common.materialize(at.select("pivot", "doc_id", "linked", "h", "n", "r", "k", "added"), "group")
-
-    added = at.select("pivot", "doc_id", "n", "r", "h", "k", F.explode("added").alias("token"))
-    several = added.groupBy("pivot", "token").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 < k1").select("pivot", "token")
-    added = added.join(several, ["pivot", "token"])
-    a, b = added.alias("a"), added.alias("b")
-    sharing = a.join(b, F.expr("a.pivot = b.pivot and a.token = b.token and a.doc_id < b.doc_id and a.k <> b.k"))
-    sharing = sharing.groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.expr("a.n + b.n").alias("n"), F.expr("a.h - greatest(a.r, b.r)").alias("m")).agg(F.count("*").alias("s"))
-    sharing = sharing.filter(f"{both} * (m + s) >= {percent} * n").select("x", "y")
-
-    # s = 0: both * (h - r) >= percent * (n + partner's n) for either side
-    sizes = at.select("pivot", "doc_id", "linked", "n", "k", F.expr(f"floor({both} * (h - r) / {percent}) - n").alias("room"), (F.col("n") < F.col("h")).alias("less"))
-    least = sizes.groupBy("pivot").agg(F.min("n").alias("n0"))
-    a = sizes.filter("not linked").join(least, "pivot").filter("room >= n0").alias("a")
-    b = sizes.filter("less").alias("b")
-    alone = a.join(b, F.expr("a.pivot = b.pivot and a.doc_id <> b.doc_id and a.k <> b.k and a.room >= b.n and b.room >= a.n"))
-    alone = alone.select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y"))
-    return sharing.unionByName(alone)
+    spark = attached.sparkSession
+    own = comp.select(F.col("node").alias("pivot"), F.col("component").alias("pk"))
+    at = attached.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(own, "pivot", "left")
+    at = at.select("pivot", "doc_id", "h", "n", "lacked", "added", F.coalesce("component", "doc_id").alias("k"), (F.coalesce("component", "doc_id") != F.coalesce("pk", "pivot")).alias("apart"))
+    at = common.materialize(at, "group")
+    sizes = at.groupBy("pivot").agg(F.count("*").alias("g"), F.count_if("apart").alias("u")).filter("u > 0 and g > 1")
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # small groups share a task's call; large ones are dealt to blocks of their own
+    small = F.col("g") <= block // 4
+    sizes = sizes.select("pivot", F.when(small, F.pmod(F.xxhash64("pivot"), F.lit(parts))).otherwise(-1).cast("int").alias("call"),
+                         F.ceil(F.col("u") / block).cast("int").alias("nu"), F.ceil(F.col("g") / block).cast("int").alias("ng"))
+    at = at.join(sizes, "pivot")
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["call", "pivot", "doc_id", "h", "n", "lacked", "added", "k"]
+    left = at.filter("apart").select(*cols, mine("nu").alias("bu"), every("ng").alias("bg"), F.lit(0).alias("side"))
+    right = at.select(*cols, every("nu").alias("bu"), mine("ng").alias("bg"), F.lit(1).alias("side"))
+    both = left.unionByName(right).withColumn("at", F.when(F.col("call") < 0, F.col("pivot")))
+
+    def compare(key, t):
+        import pyarrow as pa
+
+        src, dst = [], []
+        t = t.combine_chunks()
+        pivots, side, ids, k = (t.column(c).to_numpy() for c in ("pivot", "side", "doc_id", "k"))
+        h, n = t.column("h").to_numpy(), t.column("n").to_numpy()
+        lacked, added = t.column("lacked"), t.column("added")
+        order = np.argsort(pivots, kind="stable")
+        starts = np.nonzero(np.r_[True, pivots[order][1:] != pivots[order][:-1]])[0]
+        for s, e in zip(starts, [*starts[1:], len(order)]):
+            rows = order[s:e]
+            a, b = rows[side[rows] == 0], rows[side[rows] == 1]
+            if not len(a) or not len(b):
+                continue
+            get = lambda c, at: [np.asarray(c[int(i)].values.to_numpy(), np.int64) for i in at]
+            la, lb = get(lacked, a), get(lacked, b)
+            lack = np.array([len(x) for x in la])[:, None] + np.array([len(x) for x in lb])[None, :] - _overlaps(la, lb)
+            inter = h[a][:, None] - lack + _overlaps(get(added, a), get(added, b))
+            total = n[a][:, None] + n[b][None, :]
+            met = ((100 + percent) * inter >= percent * total) & (k[a][:, None] != k[b][None, :])
+            i, j = np.nonzero(met)
+            r = _forest(ids[a], ids[b], i, j)
+            src.append(r[0])
+            dst.append(r[1])
+        flat = lambda v: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64())
+        return pa.table({"src": flat(src), "dst": flat(dst)})
+
+    return common.materialize(both.groupBy("call", "at", "bu", "bg").applyInArrow(compare, "src long, dst long").distinct(), "verified")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the links a[i] - b[j]: every node and its component's least."""
+    nodes, at = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
+    x, y, root = at[: len(i)], at[len(i) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return nodes, nodes[root]
+        root = new
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
