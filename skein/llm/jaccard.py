@@ -36,6 +36,8 @@ SKETCH = 1 << 21
 CHUNK = 1 << 14
 #: Choices of the number of matches.
 MATCHES = (1, 2, 4, 8, 16)
+#: Members from which a list gives its documents a pivot.
+LONG_LIST = 32
 #: Cost of verifying a candidate, in postings, for each shingle of the document.
 VERIFY_COST = 0.05
 
@@ -219,20 +221,21 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
     posted = common.materialize(postings.join(lists.select("token", "hub"), "token"), "postings")
     common.release(spark)
 
-    # shingles of the prefix that no other prefix has cannot be shared: they bound every overlap
+    # Whichever prefix ends first in the order, what it leaves out lies in its rest, and all else the two
+    # share is in both prefixes. So an overlap is at most the matches and the longer rest, and the
+    # matches are at most the prefix shingles of either that any other prefix has.
     own = posted.groupBy("doc_id").agg(F.count("*").alias("c"))
     own = rows.filter("l > 0").select("doc_id", "n", "l", F.size("prefix").alias("p")).join(own, "doc_id")
-    own = own.filter("c >= l").selectExpr("doc_id", "n", "l", "n - (p - c) as most", "n - p as rest")
-    own = common.materialize(own, "bounds")
+    own = common.materialize(own.selectExpr("doc_id", "n", "l", "c", "n - p as rest"), "bounds")
     both = 100 + percent
-    fits = f"{both} * least(a.most, b.most) >= {percent} * (a.n + b.n) and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    # whichever prefix ends first in the order, what it leaves out is in its rest, and all else is among the c matches
-    enough = f"c >= least(a.l, b.l) and {both} * (c + greatest(a.rest, b.rest)) >= {percent} * (a.n + b.n)"
+    reach = f"{both} * ({{c}} + greatest(a.rest, b.rest)) >= {percent} * (a.n + b.n)"
+    fits = f"{reach.format(c='least(a.c, b.c)')} and least(a.c, b.c) >= least(a.l, b.l) and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    enough = f"c >= least(a.l, b.l) and {reach.format(c='c')}"
 
     # lists' smallest members
-    stars = posted.filter("doc_id <> hub").groupBy(F.col("hub").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("c"))
+    stars = posted.filter("doc_id <> hub").groupBy(F.col("hub").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("m"))
     stars = stars.join(own.alias("a"), F.col("x") == F.col("a.doc_id")).join(own.alias("b"), F.col("y") == F.col("b.doc_id"))
-    stars = stars.filter(F.expr(fits) & F.expr("c >= least(a.l, b.l)")).select("x", "y")
+    stars = stars.filter(F.expr(fits) & F.expr("m >= least(a.l, b.l)")).select("x", "y")
     links = rows.filter("first is not null").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
     links = links.unionByName(_verify(stars, docs, percent, size).select(F.col("x").alias("src"), F.col("y").alias("dst")))
 
@@ -245,11 +248,13 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
     comp = common.materialize(common.connected_components(links), "components")
     placed = mixed(posted.select("token", "doc_id").join(own.select("doc_id"), "doc_id"), comp, "mixed")
 
-    # A pivot for each document that is left: the smallest member of its lists, twice over. Documents
-    # that share half with their pivot are known by what they lack and add, see _same_pivot.
-    lows = placed.groupBy("token").agg(F.min("doc_id").alias("low"))
-    up = common.materialize(placed.join(lows, "token").groupBy("doc_id").agg(F.min("low").alias("up")), "pivots")
-    pivots = up.alias("a").join(up.alias("b"), F.expr("a.up = b.doc_id")).selectExpr("b.up as x", "a.doc_id as y").filter("x <> y")
+    # A pivot for each document in long lists: the smallest member that as many of its lists
+    # share as it needs matches, twice over. Documents that share half with their pivot are known
+    # by what they lack and add, see _same_pivot. Short lists are cheap pair by pair.
+    lows = placed.groupBy("token").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).filter(F.col("c") >= LONG_LIST).select("token", "low")
+    up = placed.join(lows, "token").groupBy("doc_id", "low").agg(F.count("*").alias("c")).join(own.select("doc_id", "l"), "doc_id")
+    up = common.materialize(up.filter("c >= l").groupBy("doc_id").agg(F.min("low").alias("up")), "pivots")
+    pivots = up.alias("a").join(up.alias("b"), F.expr("a.up = b.doc_id"), "left").select(F.coalesce("b.up", "a.up").alias("x"), F.col("a.doc_id").alias("y")).filter("x <> y")
     attached = _attach(pivots, docs, percent, size)
     links = links.unionByName(attached.filter("linked").select(F.col("pivot").alias("src"), F.col("doc_id").alias("dst")))
     comp = common.materialize(common.connected_components(links), "components")
