@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,23 +26,36 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 class CodeGraph:
     """Named DataFrames; g.method, g.calls and so on. Nothing runs until an operator's result is used."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]) -> None:
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]]) -> None:
+        """tables: DataFrames, or functions that give one when the table is first used."""
         unknown = set(tables) - set(schema.TABLES)
         if unknown:
             raise ValueError(f"no such tables: {sorted(unknown)}")
         self.spark = spark
-        self.tables = {t: conform(tables[t], t) if t in tables else spark.createDataFrame([], schema.struct(t)) for t in schema.TABLES}
+        self._given = dict(tables)
+        self._ready: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._ready:
+            given = self._given.get(name)
+            if given is None:
+                df = self.spark.createDataFrame([], schema.struct(name))
+            else:
+                df = conform(given() if callable(given) else given, name)
+            self._ready[name] = df
+        return self._ready[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in (tables := self.__dict__.get("tables", {})):
+        if name not in schema.TABLES:
             raise AttributeError(name)
-        return tables[name]
+        return self[name]
 
-    def __getitem__(self, name: str) -> DataFrame:
-        return self.tables[name]
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        return {t: self[t] for t in schema.TABLES}
 
     def with_tables(self, **tables: DataFrame) -> "CodeGraph":
-        return CodeGraph(self.spark, {**self.tables, **tables})
+        return CodeGraph(self.spark, {**self._given, **self._ready, **tables})
 
     def union(self, **tables: DataFrame) -> "CodeGraph":
         return self.with_tables(**{t: self.tables[t].unionByName(conform(df, t)) for t, df in tables.items()})
