@@ -72,7 +72,7 @@ class CodeGraph:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, tables: tuple[str, ...] = schema.TABLES) -> "CodeGraph":
-        return cls(spark, {t: spark.read.parquet(f"{path}/{t}") for t in tables})
+        return cls(spark, {t: spark.read.schema(schema.struct(t)).parquet(f"{path}/{t}") for t in tables})
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Node tables are partitioned by repository, so that a repository's queries read its files only."""

@@ -139,8 +139,8 @@ def pointcut_annotation(window: Column, language: Column) -> Column:
     last segment of a qualified name."""
     var = F.regexp_extract(window, r"@annotation\(\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\)", 1)
     quoted = F.concat(F.lit(r"\Q"), var, F.lit(r"\E"))
-    kotlin = F.regexp_extract(window, F.concat(F.lit(r"\b"), quoted, F.lit(r"\s*:\s*(?:[A-Za-z0-9_.]+\.)?([A-Za-z][A-Za-z0-9_]+)")), F.lit(1))
-    java = F.regexp_extract(window, F.concat(F.lit(r"(?:^|[\s,(<])(?:[A-Za-z0-9_.]+\.)?([A-Za-z][A-Za-z0-9_]+)\s+"), quoted, F.lit(r"\b")), F.lit(1))
+    kotlin = F.call_function("regexp_extract", window, F.concat(F.lit(r"\b"), quoted, F.lit(r"\s*:\s*(?:[A-Za-z0-9_.]+\.)?([A-Za-z][A-Za-z0-9_]+)")), F.lit(1))
+    java = F.call_function("regexp_extract", window, F.concat(F.lit(r"(?:^|[\s,(<])(?:[A-Za-z0-9_.]+\.)?([A-Za-z][A-Za-z0-9_]+)\s+"), quoted, F.lit(r"\b")), F.lit(1))
     typed = F.when(language == "kotlin", kotlin).otherwise(java)
     return F.when(F.contains(var, F.lit(".")), F.substring_index(var, ".", -1)).when(var != "", F.nullif(typed, F.lit("")))
 

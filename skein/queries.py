@@ -380,7 +380,7 @@ def q34_ingest_perf_edges(g: CodeGraph) -> DataFrame:
 
 
 @_query("""SELECT event_type || '/' || CAST(user_id % 10 AS VARCHAR) AS endpoint_fqn, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50_ms, CAST(quantile_disc(value, 0.99) AS DOUBLE) AS p99_ms,
-count(*) / ((max(epoch_ms(ts)) - min(epoch_ms(ts)))::DOUBLE / 1000.0::DOUBLE) AS rps, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS sample_time, 'events' AS source FROM events GROUP BY 1""")
+count(*) / ((max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000))::DOUBLE / 1000.0::DOUBLE) AS rps, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS sample_time, 'events' AS source FROM events GROUP BY 1""")
 @_raw
 def q35_aggregate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))

@@ -19,7 +19,7 @@ def added_lines(diffs: DataFrame) -> DataFrame:
     rows = rows.withColumn("file", F.expr("first_value(case when x like '+++ b/%' then substring(x, 7) end) over (partition by diff_id, part order by i)"))
     rows = rows.filter(F.col("file").isNotNull() & ~head)
     rows = rows.withColumn("hunk", F.expr("count_if(x like '@@ %') over (partition by diff_id, part order by i)")).filter("hunk > 0")
-    rows = rows.withColumn("start", F.expr(r"first_value(cast(regexp_extract(x, '\\+(\\d+)', 1) as int)) over (partition by diff_id, part, hunk order by i)"))
+    rows = rows.withColumn("start", F.expr(r"first_value(try_cast(regexp_extract(x, '\\+(\\d+)', 1) as int)) over (partition by diff_id, part, hunk order by i)"))
     rows = rows.withColumn("line", F.expr("start - 1 + count_if(x like '+%' or x like ' %' or x = '') over (partition by diff_id, part, hunk order by i)"))
     rows = rows.withColumn("position", F.expr("count_if(x like '@@ %' or x like '-%' or x like '+%' or x like ' %' or x = '') over (partition by diff_id, part order by i)"))
     return rows.filter(x.startswith("+")).select("diff_id", "file", F.col("line").cast("int").alias("line"), F.col("position").cast("int").alias("position"))
