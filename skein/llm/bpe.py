@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from skein.llm import common
 
 # entries kept in a worker; what is dropped is computed again when needed
-MAX_STATES = 150_000
-MAX_PIECES = 200_000
+MAX_STATES = 300_000
+MAX_PIECES = 400_000
 MAX_PAIRS = 600_000
 
 
