@@ -8,9 +8,9 @@ count as seen once. A document's score is the sum of ln S over its words.
 Exploded bigrams (document, v, w) are partitioned by the hash of v, so a
 partition holds the whole count table of its contexts; joining it with its own
 rows needs no further shuffle. What has to back off goes on to the partition of
-w's hash, where the unigram table waits. Contexts with a thousandth of all words
-or more - a thousand at most - are spread by the bigram's hash, their counts known
-to every task. Rows travel as compressed columns of a few thousand documents; each
+w's hash, where the unigram table waits. Contexts with a thousandth of all words,
+or a tenth of a partition's share, are spread by the bigram's hash, their counts
+known to every task: a thousand or ten for each partition at most. Rows travel as compressed columns of a few thousand documents; each
 partition returns a sum per document, and these are summed.
 """
 
@@ -28,7 +28,7 @@ from skein.llm import common
 from skein.llm.shingles import mix, word_hashes
 
 BACKOFF = 0.4
-#: A word with this share of all words is spread over all partitions.
+#: A word with this share of all words, or a tenth of a partition's, is spread over all partitions.
 HOT_SHARE = 0.001
 #: Words that a task holds before it hands on a block.
 BLOCK_WORDS = 1_200_000
@@ -226,7 +226,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unigrams = common.materialize(_counts(docs), "unigrams")
     common.release(spark)
     total = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hot = _Hot(unigrams.filter(F.col("c") >= max(1, math.ceil(total * HOT_SHARE))).collect(), total)  # 1 / HOT_SHARE rows at most
+    share = min(HOT_SHARE, 0.1 / parts)
+    hot = _Hot(unigrams.filter(F.col("c") >= max(1, math.ceil(total * share))).collect(), total)  # 1 / share rows at most
 
     def explode(batches: Iterator) -> Iterator:
         import pyarrow as pa
