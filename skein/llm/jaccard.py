@@ -56,13 +56,19 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
 
         total, seen = np.zeros(SKETCH, np.uint32), set()
         for batch in batches:
+            places, held = [], 0
             for text in batch.column(0):
                 s = shingle_set(text.as_py(), size)
-                if len(s):
-                    key = s.tobytes() if len(s) < 4 else hash(s.tobytes())
-                    if key not in seen:
-                        seen.add(key)
-                        np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                key = len(s), hash(s.tobytes())
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    places.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
+                    held += len(s)
+                if held >= 4 * SKETCH:
+                    total += np.bincount(np.concatenate(places), minlength=SKETCH).astype(np.uint32)
+                    places, held = [], 0
+            if held:
+                total += np.bincount(np.concatenate(places), minlength=SKETCH).astype(np.uint32)
         rows = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["chunk", "part", "counts"])
