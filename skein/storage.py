@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = os.path.join(tempfile.gettempdir(), f"skein-{spark.sparkContext.applicationId}")
-    os.makedirs(root, exist_ok=True)
+    if not os.path.isdir(root):
+        os.makedirs(root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return "file://" + root
 
 
