@@ -30,7 +30,7 @@ def main() -> None:
     with tempfile.TemporaryDirectory() as tmp:
         began = time.time()
         testdata.graph(spark, sf_dir).write(f"{tmp}/graph")
-        times["write_graph"] = time.time() - began
+        setup = time.time() - began
         g = CodeGraph.read(spark, f"{tmp}/graph")
         requests = testdata.view(spark, sf_dir, "g_request").selectExpr("cast(k as string) as endpoint_fqn", "ms as elapsed_ms", "event_id as start_ms", "event_id + cast(ms as bigint) as end_ms")
         seed = g.method.select("fqn").first().fqn
@@ -56,7 +56,7 @@ def main() -> None:
             times[name] = statistics.median(each[1:])
     spark.stop()
     out = {k: round(v, 3) for k, v in times.items()}
-    print(json.dumps({"metric": "sum of medians, warm", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "sum of medians, warm", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "setup_write_graph": round(setup, 3)}))
 
 
 if __name__ == "__main__":
