@@ -1,12 +1,15 @@
 """Line dedup by content-defined line chunks.
 
-A rolling hash over two neighbouring line hashes chooses chunk boundaries, so a
-passage is cut alike wherever it stands and whatever precedes it. Chunks of
-several lines, and single lines and the rolling hash's windows for the passage's
-ends that fall into mixed chunks, are counted over the whole corpus. Lines whose chunk also stands in a
-document of smaller id are joined to runs that are aligned with one earlier
-document; runs of enough words are compared byte by byte with that document and
-removed. The smallest document that holds a passage keeps it.
+A chunk is the fewest lines from a line on, or up to a line, that have min_words
+words: its ends follow from its content alone, so a passage is cut alike wherever
+it stands and whatever precedes it. Every line of a passage of min_words words or
+more lies in a chunk inside the passage: the one that ends at the line if enough
+words of the passage precede it, else the one that starts with the passage. So a
+line goes exactly if one of its chunks also stands in a document of smaller id,
+and any such document will do: each chunk is long enough by itself, the first
+holder of its hash stands for all others. Chunks next to each other, aligned with
+the same holder, are joined, compared byte by byte with it and removed. The
+smallest document that holds a passage keeps it.
 """
 
 from __future__ import annotations
@@ -22,10 +25,8 @@ from pyspark.sql import types as T
 from skein.llm import common
 from skein.llm.shingles import mix
 
-#: One in so many line pairs ends a chunk.
-DIVISOR = 4
-
-_M = np.uint64(0x9E3779B97F4A7C15)
+_M = 0x9E3779B97F4A7C15
+_INVERSE = pow(_M, -1, 1 << 64)
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -33,43 +34,52 @@ def lines_of(text: str | None) -> list[str]:
     return [x for x in text.split("\n") if x.strip()] if text else []
 
 
-def line_chunks(lines: list[str]) -> list[tuple[int, int, int]]:
-    """(hash, first line, lines) of every line, every window of the rolling hash and every chunk of several lines."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-    out = [(int(x), i, 1) for i, x in enumerate(h.view(np.int64))]
-    if len(h) < 2:
-        return out
-    roll = mix(h[:-1] * _M + h[1:])
-    out += [(int(x), i, 2) for i, x in enumerate(roll.view(np.int64))]
-    ends = np.nonzero(roll % np.uint64(DIVISOR) == 0)[0] + 2
-    start = 0
-    for end in [*ends.tolist(), len(h)]:
-        if end - start > 2:
-            out.append((xxhash.xxh3_64_intdigest(h[start:end].tobytes(), seed=end - start) - (1 << 63), start, end - start))
-        start = end
-    return out
-
-
-def _chunks(docs: DataFrame) -> DataFrame:
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _cut(lines: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (int64), first line and number of lines of every chunk, each place once."""
+    n = len(lines)
+    upto = np.zeros(n + 1, np.int64)  # every line has a word, so this rises
+    np.cumsum([len(x.split()) for x in lines], out=upto[1:])
+    at = np.arange(n + 1)
+    ends = np.searchsorted(upto, upto + max(min_words, 1))
+    starts = np.searchsorted(upto, upto - max(min_words, 1), "right") - 1
+    ahead, back = ends <= n, starts >= 0
+    place = np.unique(np.concatenate([at[ahead] * (n + 1) + ends[ahead], starts[back] * (n + 1) + at[back]]))
+    i, j = place // (n + 1), place % (n + 1)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, n)
+    # a rolling hash: the sum of the lines' hashes times the powers of a factor, shifted to the chunk's start
+    roll = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * _powers(_M, n), dtype=np.uint64, out=roll[1:])
+    return mix((roll[j] - roll[i]) * _powers(_INVERSE, n + 1)[i]).view(np.int64), i, j - i
+
+
+def line_chunks(lines: list[str], min_words: int = 50) -> list[tuple[int, int, int]]:
+    """(hash, first line, lines) of every chunk."""
+    return list(zip(*(x.tolist() for x in _cut(lines, min_words))))
+
+
+def _chunks(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ["doc_id", "key", "hash", "line", "n"]
         for batch in batches:
-            doc, key, hashes, first, words = [], [], [], [], []
+            parts = [[np.zeros(0, np.int64)] * 5]
             for d, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 lines = lines_of(text.as_py())
                 if d is None or not lines:
                     continue
-                n = [len(x.split()) for x in lines]
-                for h, i, m in line_chunks(lines):
-                    doc.append(d)
-                    key.append(k)
-                    hashes.append(h)
-                    first.append(i)
-                    words.append(n[i : i + m])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(hashes, pa.int64()), pa.array(first, pa.int32()), pa.array(words, pa.list_(pa.int32()))], names=["doc_id", "key", "hash", "line", "words"])
+                h, i, n = _cut(lines, min_words)
+                parts.append([np.full(len(h), d, np.int64), np.full(len(h), k, np.int64), h, i, n])
+            cols = [np.concatenate(x) for x in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if x < 3 else pa.int32()) for x, c in enumerate(cols)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, hash long, line int, words array<int>")
+    return docs.mapInArrow(run, "doc_id long, key long, hash long, line int, n int")
 
 
 def _spans_text(base: DataFrame, wanted: DataFrame, at: int) -> DataFrame:
@@ -92,12 +102,14 @@ def _spans_text(base: DataFrame, wanted: DataFrame, at: int) -> DataFrame:
                 if not spans.is_valid:
                     continue
                 lines = lines_of(text.as_py())
-                rows += [(doc, key, s["line"], s["n"], "\n".join(lines[s["line"] : s["line"] + s["n"]])) for s in spans.as_py()]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "key", "line", "n", "bytes"])
+                for s in spans.as_py():
+                    found = "\n".join(lines[s["line"] : s["line"] + s["n"]])
+                    rows.append((doc, key, s["line"], s["n"], found, len(found.split())))
+            cols = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64()))], names=["doc_id", "key", "line", "n", "bytes", "words"])
 
     found = base.join(each.hint("merge"), (F.col("_ld_doc") == F.col("_ld_d")) & (F.col("_ld_key") == F.col("_ld_k")), "left").select(*base.columns, "_ld_spans")
-    return found.mapInArrow(run, "doc_id long, key long, line int, n int, bytes string").dropDuplicates(["doc_id", "key", "line", "n"])
+    return found.mapInArrow(run, "doc_id long, key long, line int, n int, bytes string, words long").dropDuplicates(["doc_id", "key", "line", "n"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,18 +124,18 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     common.tune(docs.sparkSession)
     base = _keyed(docs, id_col, text_col)
     rows = base.select(F.col("_ld_doc").alias("doc_id"), F.col("_ld_key").alias("key"), F.col(text_col).cast("string").alias("text"))
-    chunks = common.materialize(_chunks(rows), "chunks")
+    chunks = common.materialize(_chunks(rows, min_words), "chunks")
     first = chunks.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "line")).alias("k"), F.max("doc_id").alias("last"))
     first = first.filter("k.doc_id < last").select("hash", F.col("k.doc_id").alias("k_doc"), F.col("k.key").alias("k_key"), F.col("k.line").alias("k_line"))
-    # written, so that the join reads two plain exchanges and splits the partition of a hot line
+    # written, so that the join reads two plain exchanges and splits the partition of a hot chunk
     again = chunks.join(common.materialize(first, "repeated").hint("merge"), "hash").filter("doc_id > k_doc")
-    again = again.select("doc_id", "key", "line", "k_doc", "k_key", "k_line", F.posexplode("words").alias("at", "w"))
-    again = again.selectExpr("doc_id", "key", "line + at as line", "k_doc", "k_key", "line - k_line as shift", "w").distinct()
-    # lines next to each other, aligned with the same earlier document, are one run
-    runs = again.selectExpr("*", "line - row_number() over (partition by doc_id, key, k_doc, k_key, shift order by line) as run")
-    runs = runs.groupBy("doc_id", "key", "k_doc", "k_key", "shift", "run").agg(
-        F.min("line").alias("line"), F.count("*").cast("int").alias("n"), F.sum("w").alias("words"))
-    runs = runs.filter(F.col("words") >= min_words).selectExpr("doc_id", "key", "line", "n", "words", "k_doc", "k_key", "line - shift as k_line")
+    again = again.selectExpr("doc_id", "key", "line", "line + n as end", "k_doc", "k_key", "line - k_line as shift")
+    # chunks that touch, aligned with the same earlier document, are one run
+    by = "partition by doc_id, key, k_doc, k_key, shift order by line, end"
+    runs = again.selectExpr("*", f"max(end) over ({by} rows between unbounded preceding and 1 preceding) as before")
+    runs = runs.selectExpr("*", f"count_if(before is null or line > before) over ({by} rows unbounded preceding) as run")
+    runs = runs.groupBy("doc_id", "key", "k_doc", "k_key", "shift", "run").agg(F.min("line").alias("line"), F.max("end").alias("end"))
+    runs = runs.selectExpr("doc_id", "key", "line", "end - line as n", "k_doc", "k_key", "line - shift as k_line")
     runs = common.materialize(runs, "runs")
     common.release(docs.sparkSession)
     own = runs.select("doc_id", "key", "line", "n")

@@ -244,6 +244,50 @@ def test_passages_go_and_the_rest_stays(spark):
     assert got[0].text == rows[0][1] and got[0].lang == "en"
 
 
+def exact_dedup(rows, least=50):
+    """Texts after every run of `least` words or more that any document of smaller id holds is cut."""
+    held = [(i, linededup.lines_of(t)) for i, t in rows]
+    out = {}
+    for d, lines in held:
+        gone = set()
+        for e, other in held:
+            for shift in range(-len(other), len(lines)) if e < d else ():
+                run = []
+                for x in range(len(lines) + 1):
+                    if x < len(lines) and 0 <= x - shift < len(other) and lines[x] == other[x - shift]:
+                        run.append(x)
+                        continue
+                    if sum(len(lines[y].split()) for y in run) >= least:
+                        gone.update(run)
+                    run = []
+        out[d] = "\n".join(x for y, x in enumerate(lines) if y not in gone)
+    return out
+
+
+def test_a_passage_goes_though_its_lines_have_different_first_holders(spark):
+    rng = random.Random(21)
+    lines = [line(rng, 10) for _ in range(6)]
+    rows = [(0, "\n".join(lines[:3])), (1, "\n".join(lines)), (2, "\n".join(["own", *lines]))]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: rows[1][1], 2: "own"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_equals_the_any_earlier_document_rule(spark, seed):
+    rng = random.Random(30 + seed)
+    pool = [line(rng, rng.choice([1, 3, 8, 10, 14, 25, 49, 50])) for _ in range(40)]
+    rows = []
+    for i in range(50):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(len(pool))
+            text += pool[a : a + rng.randrange(1, 14)] + [line(rng, rng.randrange(1, 12))] * rng.randrange(2)
+        rows.append((i, "\n".join(text)))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows).repartition(3)).collect()}
+    want = exact_dedup(rows)
+    assert got == want and sum(want[i] != t for i, t in rows) > 10
+
+
 def test_line_dedup_of_odd_rows(spark):
     long = "\n".join("p q r s t u v w x y" for _ in range(8))
     rows = ODD + [(20, long), (20, long), (None, long), (21, long + "\n"), (22, "\n\n" + long)]
