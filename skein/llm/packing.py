@@ -13,6 +13,8 @@ once, longest first.
 from __future__ import annotations
 
 import heapq
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -43,8 +45,21 @@ def piece_lengths(n: int, capacity: int, reciprocals: int = RECIPROCALS) -> list
 _TOKENIZERS: dict[str, object] = {}
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """The tokens that the vocabulary's JSON form, beside the ranks, matches in a text before the merges."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that take more than their own text: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
 def _tokenizer(ranks_path: str, pattern: str):
-    """The rank form of the vocabulary; the merges of both forms give the same ids."""
+    """The rank form of the vocabulary with the JSON form's added tokens; both forms give the same ids."""
     import tiktoken
 
     from skein.llm.bpe import load_ranks
@@ -52,7 +67,7 @@ def _tokenizer(ranks_path: str, pattern: str):
     key = f"{ranks_path}\0{pattern}"
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+        _TOKENIZERS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens=added_tokens(ranks_path))
     return _TOKENIZERS[key]
 
 
@@ -67,12 +82,12 @@ def cut_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = _tokenizer(ranks_path, pattern).encode_ordinary
+        encode = _tokenizer(ranks_path, pattern).encode
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*encode(text.as_py() or "", allowed_special="all"), end_id], dtype="<u4")
                 at = 0
                 for n in piece_lengths(len(ids), capacity):
                     packed = ids[at : at + n].tobytes()
@@ -116,7 +131,8 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int
 
     Null texts are empty: a document of end_id alone. Repeated rows and null ids
     are documents like others; an empty table gives an empty one; other columns
-    are not read. Sequences hold at most `capacity` tokens and are gapless.
+    are not read. An added token's text in a document is that token, as in the
+    vocabulary's JSON form. Sequences hold at most `capacity` tokens and are gapless.
 
     The pieces are written once to the shared folder; their numbers depend on
     files from then on, not on the order in which tasks happen to run again.

@@ -463,6 +463,18 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(docs(spark, []), RANKS, PATTERN).count() == 0
 
 
+def test_packing_matches_added_tokens_as_the_json_form_does(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x  {end}  y\n\n {end}\n", f"{end}don{end}'t 12{end}3", "<|endoftext|", f"<{end}>", "<|ENDOFTEXT|>", f"Ü {end}中文 \x85"]
+    out = packing.pack_documents(docs(spark, list(enumerate(texts))), RANKS, PATTERN, with_ids=True).collect()
+    got = {i: [x for r in sorted(out, key=lambda r: r.start) if r.doc_id == i for x in np.frombuffer(r.ids, "<u4").tolist()] for i in range(len(texts))}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert got[0] == [64, 220, 50256, 275, 1]
+
+
 def test_piece_lengths():
     for n in range(0, 5000, 7):
         p = packing.piece_lengths(n, 2048)
