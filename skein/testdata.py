@@ -39,8 +39,8 @@ VIEWS: dict[str, str] = {
         CASE k % 9 WHEN 0 THEN 'O(n2)-candidate' WHEN 1 THEN 'recursive' WHEN 2 THEN 'recursive,n+1-risk' WHEN 3 THEN 'unbounded-query' WHEN 4 THEN 'O(n2)-list-scan,n+1-risk' WHEN 5 THEN 'odd-tag' ELSE '' END AS complexity_hint,
         CAST(k % 4 + k % 3 AS BIGINT) AS io_fanout, CAST(k % 3 AS BIGINT) AS io_parallel_count, CAST(k % 4 AS BIGINT) AS io_serial_count, CASE WHEN k % 3 > 0 THEN 'coroutine' ELSE '' END AS io_parallel_wrapper, k
         FROM g_part p JOIN g_class c ON c.s = p.s AND c.b = p.b""",
-    # consecutive parts of an order, thinned: about 0.6 calls a method
-    "g_line": "SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey AS k, l_returnflag AS f FROM lineitem WHERE l_orderkey % 23 = 0",
+    # consecutive parts of an order, over all of lineitem: about 22 calls a method
+    "g_line": "SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey AS k, l_returnflag AS f FROM lineitem",
     "g_calls": """SELECT CAST(a.k AS STRING) AS src, CAST(b.k AS STRING) AS dst, min(m.name) AS callee_name,
         CAST(min(CASE a.f WHEN 'A' THEN 0 WHEN 'N' THEN -1 ELSE CASE WHEN a.k % 2 = 0 THEN -99 ELSE 0 END END) AS BIGINT) AS caller_arg_pos, CAST(min(CASE a.f WHEN 'A' THEN 0 ELSE -1 END) AS BIGINT) AS callee_param_pos
         FROM g_line a JOIN g_line b ON a.o = b.o AND b.n = a.n + 1 JOIN g_method m ON m.k = b.k WHERE a.k <> b.k GROUP BY a.k, b.k""",

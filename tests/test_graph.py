@@ -1,6 +1,7 @@
 """Catalogue operators on small hand-made graphs."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -271,3 +272,17 @@ def test_licenses(spark):
 def test_entities(spark):
     g = small(spark, entity_relation=[{"id": "1", "source_class_id": "c", "target_class_fqn": "com.B", "field_name": "b", "relation_type": "ManyToOne", "fetch_type": "EAGER", "repo_id": "r"}], has_relation=[{"src": "c", "dst": "1"}])
     assert rows(orm.find_eager_fetches(g), "source_class_fqn", "field_name") == [("com.A", "b")] and orm.list_entity_relations(g, "none").count() == 0
+
+
+def test_calls_and_stubs_come_from_all_of_lineitem(spark):
+    from skein import testdata
+
+    d = "/root/testdata/sf0.001"
+    parts = defaultdict(set)
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").collect():
+        parts[r.l_orderkey, r.l_linenumber].add(r.l_partkey)
+    methods = {r.k for r in testdata.view(spark, d, "g_method").collect()}
+    want = {(str(a), str(b)) for (o, n), ks in parts.items() for a in ks for b in parts.get((o, n + 1), ()) if a != b and b in methods}
+    assert {(r.src, r.dst) for r in testdata.view(spark, d, "g_calls").collect()} == want
+    stubs = {f"s{o}_{n}" for (o, n), ks in parts.items() if n % 3 == 1 and min(ks) in methods}
+    assert {r.id for r in testdata.view(spark, d, "g_stub").collect()} == stubs
