@@ -120,7 +120,7 @@ def find_cross_service_taint(g: CodeGraph, repo: str | None = None, max_depth: i
     handlers = ends.join(methods, ["repo_id", "id"]).groupBy("id", "fqn", "repo_name").agg(F.min(F.struct("http_method", "path")).alias("ep"))
     # in-repository calls, the least name for each pair of methods
     calls = _in_repo_calls(g, repo).join(methods.select(F.col("id").alias("dst"), F.col("repo_id").alias("r"), "fqn"), "dst").filter("r = repo_id")
-    calls = calls.groupBy("src", "dst", "fqn").agg(F.min(F.coalesce("callee_name", F.lit(""))).alias("callee_name"))
+    calls = materialize(calls.groupBy("src", "dst", "fqn").agg(F.min(F.coalesce("callee_name", F.lit(""))).alias("callee_name")), "edges")
     out_rest = g.unresolved_call.select("src", "dst").join(g.rest_call.select(F.col("id").alias("dst"), F.col("url_pattern").alias("url"), F.col("http_method").alias("verb")), "dst").select("src", "url", "verb")
     out_ends = g.calls_rest.join(g.endpoint.select(F.col("id").alias("dst"), F.col("path").alias("url"), F.col("http_method").alias("verb")), "dst").select("src", "url", "verb")
     sinks = out_rest.unionByName(out_ends)
