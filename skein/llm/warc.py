@@ -16,7 +16,6 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +33,9 @@ def _open(path: str):
     """(file system, path in it) of any URI that the cluster's storage has."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path) if path.startswith("/") else fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri("file://" + path if path.startswith("/") else re.sub("^file:/+", "file:///", path))
 
 
 def record_id(page_id) -> str:
@@ -118,14 +119,20 @@ def write_bundles(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
     common.tune(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.sha2("payload", 256).alias("_k"), F.length("payload").alias("_n"))
-    latest = rows.groupBy("_k", "_n").agg(F.max("page_id").alias("response_id"))
-    # ids travel as strings: pandas would turn longs beside nulls into doubles
-    rows = rows.join(latest, ["_k", "_n"]).select(
-        F.col("page_id").cast("string"), "url", "payload", F.when(F.col("_n") >= min_bytes, F.col("response_id")).cast("string").alias("response_id"))
+    rows = rows.withColumn("_k", F.concat(F.sha2("payload", 256), F.lit("-"), F.length("payload")))
+    # Ids and hashes alone find the revisits. The payloads meet them by id, so no payload's copies share
+    # a task; where few pages repeat, Spark sends the revisits to the payloads and these aren't shuffled.
+    ids = rows.filter((F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "_k")
+    several = ids.groupBy("_k").agg(F.max("page_id").alias("response_id"), F.min("page_id").alias("_least"))
+    several = common.materialize(several.filter("_least < response_id").drop("_least"), "repeated")
+    # both sides of this join are plain exchanges, so that adaptive execution splits a hot payload's rows
+    revisits = common.materialize(ids.join(several, "_k").filter("page_id < response_id"), "revisits")
+    revisits = revisits.groupBy("page_id", "_k").agg(F.max("response_id").alias("response_id"))
+    rows = rows.join(revisits, ["page_id", "_k"], "left").select("page_id", "url", "payload", "response_id")
     fs_dir = out_dir
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         import zstandard
 
         fs, root = _open(fs_dir)
@@ -159,18 +166,18 @@ def write_bundles(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
                 state["out"].close()
                 state["out"] = None
 
-        def index() -> pd.DataFrame:
-            out = pd.DataFrame(done, columns=[c.split()[0] for c in INDEX.split(", ")])
-            out["page_id"] = out["page_id"].astype("Int64")
+        def index() -> pa.RecordBatch:
+            cols = list(zip(*done))
+            out = pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
             done.clear()
             return out
 
-        for pdf in batches:
-            for p, url, body, resp in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["response_id"]):
-                p, resp = (None if pd.isna(p) else int(p)), (None if pd.isna(resp) else int(resp))
-                if p is None:
-                    resp = None
-                kind, record = encode_record(p, None if pd.isna(url) else url, bytes(body), resp)
+        fields = [c.split() for c in INDEX.split(", ")]
+        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        for batch in batches:
+            # a payload at a time: the batch's buffers hold them, no second copy of all
+            for p, url, body, resp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                kind, record = encode_record(p, url, body.as_py(), resp)
                 if held and len(plain) + len(record) > frame_bytes:
                     flush()
                 held.append((p, kind, len(plain), len(record)))
@@ -182,10 +189,14 @@ def write_bundles(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
         if done:
             yield index()
 
-    rows.mapInPandas(write, INDEX).write.parquet(f"{out_dir}/index")
+    rows.mapInArrow(write, INDEX).write.parquet(f"{out_dir}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{out_dir}/index")
 
 
+#: Compressed bytes of a bundle that a task reads back, and tasks at most (a task takes several slices then).
+SLICE_BYTES = 32 << 20
+MAX_TASKS = 50_000
+
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -201,24 +212,28 @@ def read_bundles(spark: SparkSession, out_dir: str, index: DataFrame | None = No
 
     Responses are measured from their own block, and the digest in the header
     must match it. A revisit's figures are those its headers hold. The unit of
-    work is a bundle, located through its own footer.
+    work is a slice of a bundle, whole frames that its footer locates; there are
+    as many tasks as slices.
     """
     index = index if index is not None else spark.read.schema(INDEX).parquet(f"{out_dir}/index")
-    bundles = index.select("bundle").distinct()
+    slices = index.select("bundle", F.expr(f"frame_offset div {SLICE_BYTES}").alias("slice")).distinct()
+    n = min(max(1, slices.count()), MAX_TASKS)
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         fs, root = _open(out_dir)
-        for pdf in batches:
-            for name in pdf["bundle"]:
+        for batch in batches:
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     for offset, size, _ in read_seek_table(f, f.size()):
-                        out = []
-                        for _, head, block in parse_records(_read_frame(f, offset, size)):
-                            out.append(_row(head, block, payloads))
-                        yield _records(out)
+                        if offset // SLICE_BYTES == at:
+                            rows = [_row(head, block, payloads) for _, head, block in parse_records(_read_frame(f, offset, size))]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in RECORDS.split(", ")])
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return bundles.repartition(n, "bundle").mapInPandas(read, RECORDS)
+    # by number and not by key: neither joined with the distinct's exchange nor shrunk
+    return slices.repartition(n).mapInArrow(read, RECORDS)
 
 
 def _row(head: dict[str, str], block: bytes, payloads: bool) -> tuple:
@@ -231,11 +246,6 @@ def _row(head: dict[str, str], block: bytes, payloads: bool) -> tuple:
     return page_of(head["warc-record-id"]), n, digest, kind, page_of(head.get("warc-refers-to")), body if payloads and kind == "response" else None
 
 
-def _records(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
-    return out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
-
-
 def read_record(out_dir: str, bundle: str, frame_offset: int, frame_size: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
     """One record by its index row: one ranged read, one frame decoded."""
     fs, root = _open(out_dir)
