@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec array<double>, dim) of the rows that take part: id and vector
-    not null, no null or non-finite component, not all zero. Repeated ids are one
-    vector, the least of theirs; other columns are not read."""
-    vec = F.col(vec_col).cast("array<double>")
+    """(vec_id, vec, dim) of the rows that take part: id and vector not null, no null
+    or non-finite component, not all zero. Repeated ids are one vector, the least
+    of theirs; other columns are not read, whatever their names. Vectors of floats
+    stay so, which halves what is shuffled; all others become array<double>."""
+    vec = F.col(vec_col) if dict(df.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
