@@ -24,13 +24,14 @@ def cloud(rng, n, dim=16):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("block", [4096, 40])
-def test_near_duplicates_equal_brute_force(spark, block):
+@pytest.mark.parametrize("cell,block", [(2048, 4096), (2048, 20), (16, 4096), (16, 10)])
+def test_near_duplicates_equal_brute_force(spark, cell, block):
     rng = np.random.default_rng(1)
     x = cloud(rng, 150)
-    x = np.concatenate([x, x[:40] + 0.03 * rng.standard_normal((40, 16)), x[:1] + 0.02 * rng.standard_normal((60, 16)), x[5:8] * 7])
+    x = np.concatenate([x, x[:40] + 0.03 * rng.standard_normal((40, 16)), x[:1] + 0.02 * rng.standard_normal((60, 16)), x[5:8] * 7, np.repeat(x[9:11], 30, axis=0)])
     rows = [(i, v) for i, v in enumerate(x)] + ODD + [(3, x[3]), (None, x[0])]
-    got = {r.vec_id: r for r in neardup.near_duplicates(vecs(spark, rows), 0.95, block_rows=block).collect()}
+    d = vecs(spark, rows).withColumn("h", F.lit(1)).withColumn("rep", F.lit("x")).withColumn("cells", F.lit(2)).withColumn("dim", F.lit(3))
+    got = {r.vec_id: r for r in neardup.near_duplicates(d, 0.95, recall=0.99999, cell_rows=cell, block_rows=block).collect()}
     f = np.float32(x).astype(float)
     u = f / np.linalg.norm(f, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
@@ -58,6 +59,21 @@ def test_calibrated_count_keeps_the_recall():
     assert (hits >= least).mean() > 0.995
 
 
+def test_recall_at_the_threshold_over_many_vectors(spark):
+    """Pairs planted at a cosine just over 0.95 among 50,000 vectors, in cells of about 200."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = cloud(rng, 50_000, 64)
+    w = rng.standard_normal((4000, 64))
+    w -= np.einsum("ij,ij->i", w, x[:4000])[:, None] * x[:4000]
+    x[4000:8000] = 0.9501 * x[:4000] + np.sqrt(1 - 0.9501**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    t = pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float64()))})
+    got = neardup.near_duplicates(spark.createDataFrame(t), 0.95, cell_rows=256).filter("n_links > 0").collect()
+    assert all(r.n_links == 1 and r.component_id == r.vec_id % 4000 for r in got)
+    assert len(got) >= 0.998 * 8000
+
+
 def test_no_vectors(spark):
     assert neardup.near_duplicates(vecs(spark, [])).count() == 0
     assert neardup.near_duplicates(vecs(spark, ODD[:6])).filter("n_links > 0").count() == 0
@@ -85,6 +101,43 @@ def test_ann_recall_and_order(spark):
     assert hit >= 0.9 * 5 * 60
 
 
+def test_ann_recall_on_more_rows_than_the_index_is_fitted_on(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = np.float32(cloud(rng, 24_000, 32))
+    t = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 32).cast(pa.list_(pa.float32()))})
+    got = ann.search(spark.createDataFrame(t), fit_rows=6000, query_every=100).collect()
+    assert len(got) == 240 * 5
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u[::100] @ u.T
+    s[np.arange(240), np.arange(0, len(x), 100)] = -2
+    best = [set(row) for row in np.argpartition(-s, 5, axis=1)[:, :5]]
+    assert sum(r.vec_id in best[r.query_id // 100] for r in got) >= 0.9 * len(got)
+
+
+def test_ann_probes_few_of_many_balanced_lists():
+    rng = np.random.default_rng(9)
+    x = np.float32(cloud(rng, 20_000, 48))
+    index = ann.Index(x, 1250, 5, 0.95, 4, 1.5, 8)
+    sizes = np.bincount(index.post(x)[1], minlength=len(index.groups))
+    assert 1000 <= len(sizes) <= 2500 and sizes.max() <= 12 * sizes.mean()
+    assert len(index.probe(x[:200])[0]) <= 0.1 * 200 * len(sizes)
+
+
+def test_ann_with_copies_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(10)
+    x = cloud(rng, 300)
+    x[100:200] = x[100]
+    rows = [(i, v) for i, v in enumerate(x)] + [(3, x[3]), (3, x[4])]
+    d = vecs(spark, rows).withColumn("lists", F.lit(1)).withColumn("first", F.lit(1)).withColumn("h", F.lit("x")).withColumn("dim", F.lit(0)).withColumn("grp", F.lit(0))
+    got = ann.search(d).collect()
+    of = lambda q: [(r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+    assert of(100) == [(i, 1.0) for i in range(101, 106)]
+    assert of(150) == [(i, 1.0) for i in range(100, 105)]
+    assert sorted({r.query_id for r in got}) == list(range(0, 300, 50)) and len(got) == 30
+
+
 def test_ann_with_few_candidates_and_ties(spark):
     rows = [(0, [1, 0]), (1, [2, 0]), (2, [3, 0]), (50, [0, 1])]
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(vecs(spark, rows)).collect()]
@@ -147,6 +200,25 @@ def test_bundles_are_plain_zstandard(spark, tmp_path):
     assert n == 20
 
 
+def test_archive_of_a_hot_payload_is_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, "u", "same" * 50 if i % 2 else f"page {i} " * 30) for i in range(2000)]
+    out = f"file://{tmp_path}/w"
+    index = warc.write_bundles(spark.createDataFrame(rows, PAGES).repartition(6), out, frame_bytes=4000)
+    read = warc.read_bundles(spark, out, index)
+    assert read.rdd.getNumPartitions() == index.select("bundle").distinct().count() > 1
+    got = {r.page_id: r for r in read.collect()}
+    assert len(got) == 2000
+    assert all((r.record_type, r.refers_to) == (("revisit", 1999) if i % 2 and i < 1999 else ("response", None)) for i, r in got.items())
+
+
+def test_a_repeated_id_with_several_payloads(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (3, "u", "b"), (3, "u", "b")]
+    out = f"file://{tmp_path}/w"
+    got = warc.read_bundles(spark, out, warc.write_bundles(spark.createDataFrame(rows, PAGES), out)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got) == [
+        (1, "revisit", 2), (1, "revisit", 3), (2, "response", 0), (3, "response", 0), (3, "response", 0)]
+
+
 def test_archive_of_odd_rows(spark, tmp_path):
     rows = [(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (2, "u", "b"), (None, None, None)]
     out = f"file://{tmp_path}/w"
