@@ -33,7 +33,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the files of materialized tables that no result still reads."""
+    for df in dfs:
+        spark, path = df.sparkSession, df._skein_path
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _SHIPPED: set[str] = set()
@@ -49,11 +59,13 @@ def ship_package(spark: SparkSession) -> None:
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if app in _SHIPPED or root in known or os.getcwd() == root:
         return
-    path = os.path.join(tempfile.mkdtemp(), "skein.zip")
+    folder = tempfile.mkdtemp()  # the driver's own: its file server hands the zip out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "skein.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
+        for at, _, names in os.walk(package):
             for n in names:
                 if n.endswith(".py"):
-                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
