@@ -8,16 +8,17 @@ count as seen once. A document's score is the sum of ln S over its words.
 Exploded bigrams (document, v, w) are partitioned by the hash of v, so a
 partition holds the whole count table of its contexts; joining it with its own
 rows needs no further shuffle. What has to back off goes on to the partition of
-w's hash, where the unigram table waits. Contexts with a thousandth of all words,
-or a tenth of a partition's share, are spread by the bigram's hash, their counts
-known to every task: a thousand or ten for each partition at most. Rows travel as compressed columns of a few thousand documents; each
-partition returns a sum per document, and these are summed.
+w's hash, where the unigram table waits. Partitions are as many as the words need.
+Contexts with a thousandth of all words, or a tenth of a partition's share, are
+spread by the bigram's hash, their counts known to every task: a thousand or ten
+for each partition at most. Rows travel as compressed columns of a few thousand
+documents; each partition returns a sum per document, and these are summed.
 """
 
 from __future__ import annotations
 
+import io
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,12 @@ from skein.llm import common
 from skein.llm.shingles import mix, word_hashes
 
 BACKOFF = 0.4
-#: A word with this share of all words, or a tenth of a partition's, is spread over all partitions.
+#: Words of a partition, about: their number follows the input, whatever the session's setting.
+PART_WORDS = 2_000_000
+#: A word with this share of all words, or a tenth of a partition's, is spread over all partitions; the
+#: least share bounds what every task is told of hot words (1 / LEAST_SHARE of them at most).
 HOT_SHARE = 0.001
+LEAST_SHARE = 2e-6
 #: Words that a task holds before it hands on a block.
 BLOCK_WORDS = 1_200_000
 #: Rows of a partition that are scored at once.
@@ -55,35 +60,41 @@ def _dictionary(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def pack(**columns: np.ndarray) -> bytes:
-    """Columns as one compressed block; hashes and ids (names in capitals) by
-    dictionary, n_doc (which DOC determines) once for each value of DOC."""
+    """Columns as one compressed block of plain arrays; hashes and ids (names in capitals)
+    by dictionary, n_doc (which DOC determines) once for each value of DOC."""
     import zstandard
 
     out, n_doc = {}, columns.pop("n_doc", None)
     for k, v in columns.items():
         if k.isupper():
-            first, steps, codes, at = _dictionary(v)
-            out[k] = first, steps, codes, _small(n_doc[at]) if k == "DOC" and n_doc is not None else None
+            out[f"{k}.first"], out[f"{k}.steps"], codes, at = _dictionary(v)
+            out[f"{k}.runs" if isinstance(codes, tuple) else f"{k}.codes"] = codes[0] if isinstance(codes, tuple) else codes
+            if k == "DOC" and n_doc is not None:
+                out["n_doc"] = _small(n_doc[at])
         else:
             out[k] = _small(v) if v.dtype.kind in "ui" else v
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(out, protocol=5))
+    file = io.BytesIO()
+    np.savez(file, **out)
+    return zstandard.ZstdCompressor(level=3).compress(file.getbuffer())
 
 
 def unpack(block: bytes) -> dict[str, np.ndarray]:
     import zstandard
 
+    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(block)), allow_pickle=False) as file:
+        got = {k: file[k] for k in file.files}
     out = {}
-    for k, v in pickle.loads(zstandard.ZstdDecompressor().decompress(block)).items():
-        if isinstance(v, tuple):
-            first, steps, codes, n_doc = v
-            if isinstance(codes, tuple):
-                codes = np.repeat(np.arange(len(codes[0])), codes[0])
-            values = np.cumsum(np.r_[first, np.ascontiguousarray(steps.T).view(np.uint64).reshape(-1)], dtype=np.uint64)
-            out[k] = values[codes].view(np.int64) if k == "DOC" else values[codes]
-            if n_doc is not None:
-                out["n_doc"] = n_doc[codes]
-        else:
+    for k, v in got.items():
+        name, _, part = k.partition(".")
+        if not part and name != "n_doc":
             out[k] = v
+        elif part in ("codes", "runs"):
+            codes = np.repeat(np.arange(len(v)), v) if part == "runs" else v
+            steps = np.ascontiguousarray(got[f"{name}.steps"].T).view(np.uint64).reshape(-1)
+            values = np.cumsum(np.r_[got[f"{name}.first"], steps], dtype=np.uint64)
+            out[name] = values[codes].view(np.int64) if name == "DOC" else values[codes]
+            if name == "DOC" and "n_doc" in got:
+                out["n_doc"] = got["n_doc"][codes]
     return out
 
 
@@ -222,11 +233,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     common.tune(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     unigrams = common.materialize(_counts(docs), "unigrams")
     common.release(spark)
     total = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    share = min(HOT_SHARE, 0.1 / parts)
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
+    share = min(HOT_SHARE, max(0.1 / parts, LEAST_SHARE))
     hot = _Hot(unigrams.filter(F.col("c") >= max(1, math.ceil(total * share))).collect(), total)  # 1 / share rows at most
 
     def explode(batches: Iterator) -> Iterator:
@@ -298,12 +309,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids, at = np.unique(t["DOC"], return_inverse=True)
         return pa.table({"doc_id": pa.array(ids.astype("i8")), "s": pa.array(np.bincount(at, weights=t["s"]))})
 
-    blocks = docs.mapInArrow(explode, "p int, block binary").groupBy("p").applyInArrow(bigrams, BLOCKS)
+    def dealt(df: DataFrame):
+        return df.repartition(parts, "p").groupBy("p")  # as many tasks as partitions of words
+
+    blocks = dealt(docs.mapInArrow(explode, "p int, block binary")).applyInArrow(bigrams, BLOCKS)
     blocks = common.materialize(blocks, "bigrams")
     common.release(spark)
     table = unigrams.select("w", "c").mapInArrow(place, "p int, w long, c long")
-    rest = table.groupBy("p").cogroup(blocks.filter("kind = 1").select("p", "block").groupBy("p")).applyInArrow(unigram, BLOCKS)
-    sums = blocks.filter("kind = 0").unionByName(rest).groupBy("p").applyInArrow(add, "doc_id long, s double")
+    rest = dealt(table).cogroup(dealt(blocks.filter("kind = 1").select("p", "block"))).applyInArrow(unigram, BLOCKS)
+    sums = dealt(blocks.filter("kind = 0").unionByName(rest)).applyInArrow(add, "doc_id long, s double")
 
     def lengths(batches: Iterator) -> Iterator:
         import pyarrow as pa
