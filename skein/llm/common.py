@@ -8,9 +8,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.storage import fresh_dir, materialize, shared_dir, ship_package
+from skein.storage import discard, fresh_dir, materialize, shared_dir, ship_package
 
-__all__ = ["connected_components", "fresh_dir", "materialize", "release", "shared_dir", "tune"]
+__all__ = ["connected_components", "discard", "fresh_dir", "materialize", "release", "shared_dir", "tune"]
 
 #: Rows a Python worker gets at once; texts can be long, so far below Spark's default.
 ARROW_ROWS = 1000
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: each is one aggregation and one
     join on the node, linear in the edges, and a round at least halves the depth
     of the trees. Every round is written to the shared folder, so no plan grows
-    and nothing but two counts reaches the driver. Nulls and loops are left out.
+    and nothing but two counts reaches the driver; the round before it is deleted
+    then. Nulls and loops are left out.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -61,7 +62,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialize(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
     mark = None
     for _ in range(max_rounds):
-        e = materialize(star(star(e, True), False), "cc")
+        before, e = e, materialize(star(star(e, True), False), "cc")
+        discard(before)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == tuple(now):
             break

@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,10 +152,25 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, percent: int, size: int) -> D
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x, y, tx, ty): the pairs with both texts, rows of one x next to each other."""
+    """(x, y, tx, ty): the pairs with both texts. The last join is on x, and a merge
+    join, so that rows of one x stand next to each other and its set is made once."""
     texts = docs.select("doc_id", "text")
-    with_x = pairs.select("x", "y").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
-    return with_x.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
+    with_y = pairs.select("x", "y").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
+    with_x = with_y.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")).hint("merge"), "x")
+    return with_x.select("x", "y", "tx", "ty")
+
+
+class _Kept:
+    """The shingles of the last left text; rows that repeat an id can have other texts."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.text, self.shingles, self.hash = size, None, None, 0
+
+    def of(self, text: str | None) -> np.ndarray:
+        if self.shingles is None or text != self.text:
+            self.text, self.shingles = text, shingle_set(text, self.size)
+            self.hash = xxhash.xxh3_64_intdigest(self.shingles.tobytes()) >> 1
+        return self.shingles
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -163,14 +179,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        last, kept = None, None
+        left = _Kept(size)
         for batch in batches:
             ok = []
-            xs = batch.column(0).to_pylist()
-            for x, a, b in zip(xs, batch.column(2), batch.column(3)):
-                if x != last:
-                    last, kept = x, shingle_set(a.as_py(), size)
-                t = shingle_set(b.as_py(), size)
+            for a, b in zip(batch.column(2), batch.column(3)):
+                kept, t = left.of(a.as_py()), shingle_set(b.as_py(), size)
                 both = len(np.intersect1d(kept, t, assume_unique=True))
                 ok.append(both > 0 and 100 * both >= percent * (len(kept) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -182,27 +195,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
 
 def _attach(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """For pairs (pivot x, document y) that share half of each set: whether they
-    link, the sizes, which of the pivot's shingles y lacks, and which it adds."""
+    link, a hash of the pivot's set, the sizes, which of its shingles y lacks, and which it adds."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("n", pa.int64()), ("lacked", pa.list_(pa.int64())), ("added", pa.list_(pa.int64()))])
-        last, kept = None, None
+        schema = pa.schema([("pivot", pa.int64()), ("set", pa.int64()), ("doc_id", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("n", pa.int64()),
+                            ("lacked", pa.list_(pa.int64())), ("added", pa.list_(pa.int64()))])
+        left = _Kept(size)
         for batch in batches:
             rows = []
             for x, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if x != last:
-                    last, kept = x, shingle_set(a.as_py(), size)
-                t = shingle_set(b.as_py(), size)
+                kept, t = left.of(a.as_py()), shingle_set(b.as_py(), size)
                 added = np.setdiff1d(t, kept, assume_unique=True)
                 both = len(t) - len(added)
                 if 2 * both >= max(len(t), len(kept), 1):
-                    rows.append({"pivot": x, "doc_id": y, "linked": 100 * both >= percent * (len(kept) + len(added)), "h": len(kept), "n": len(t), "lacked": np.setdiff1d(kept, t, assume_unique=True).view(np.int64), "added": added.view(np.int64)})
+                    lacked = np.setdiff1d(kept, t, assume_unique=True).view(np.int64)
+                    rows.append({"pivot": x, "set": left.hash, "doc_id": y, "linked": 100 * both >= percent * (len(kept) + len(added)), "h": len(kept), "n": len(t),
+                                 "lacked": lacked, "added": added.view(np.int64)})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    out = _with_texts(pairs, docs).mapInArrow(run, "pivot long, doc_id long, linked boolean, h long, n long, lacked array<long>, added array<long>")
-    out = common.materialize(out.dropDuplicates(["pivot", "doc_id"]), "attached")
+    out = _with_texts(pairs, docs).mapInArrow(run, "pivot long, set long, doc_id long, linked boolean, h long, n long, lacked array<long>, added array<long>")
+    # rows that repeat an id can have other texts, on either side
+    out = out.withColumn("s", F.xxhash64("lacked", "added")).dropDuplicates(["pivot", "set", "doc_id", "s"]).drop("s")
+    out = common.materialize(out, "attached")
     common.release(docs.sparkSession)
     return out
 
@@ -252,7 +268,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
         return common.materialize(placed.join(several, "token"), name)
 
     comp = common.materialize(common.connected_components(links), "components")
-    placed = mixed(posted.select("token", "doc_id").join(own.select("doc_id"), "doc_id"), comp, "mixed")
+    first = placed = mixed(posted.select("token", "doc_id").join(own.select("doc_id"), "doc_id"), comp, "mixed")
 
     # A pivot for each document in long lists: the smallest member that as many of its lists
     # share as it needs matches, twice over. Documents that share half with their pivot are known
@@ -265,10 +281,12 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
     links = links.unionByName(attached.filter("linked").select(F.col("pivot").alias("src"), F.col("doc_id").alias("dst")))
     comp = common.materialize(common.connected_components(links), "components")
 
-    placed = mixed(placed.select("token", "doc_id"), comp, "mixed")
-    placed = placed.join(attached.select("doc_id", "pivot"), "doc_id", "left").withColumn("g", F.coalesce("pivot", "doc_id")).drop("pivot")
+    second = placed = mixed(placed.select("token", "doc_id"), comp, "mixed")
+    common.discard(posted, first, up)
+    placed = placed.join(attached.select("doc_id", "pivot").distinct(), "doc_id", "left").withColumn("g", F.coalesce("pivot", "doc_id")).drop("pivot")
     several = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 < g1").select("token")
     placed = common.materialize(placed.join(several, "token").join(own, "doc_id"), "mixed")
+    common.discard(second)
     a, b = placed.alias("a"), placed.alias("b")
     across = a.join(b, F.expr(f"a.token = b.token and a.doc_id < b.doc_id and a.k <> b.k and a.g <> b.g and {fits}"))
     across = across.groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).agg(
@@ -312,18 +330,19 @@ def _same_pivot(attached: DataFrame, comp: DataFrame, percent: int, block: int =
     spark = attached.sparkSession
     own = comp.select(F.col("node").alias("pivot"), F.col("component").alias("pk"))
     at = attached.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(own, "pivot", "left")
-    at = at.select("pivot", "doc_id", "h", "n", "lacked", "added", F.coalesce("component", "doc_id").alias("k"), (F.coalesce("component", "doc_id") != F.coalesce("pk", "pivot")).alias("apart"))
+    k = F.coalesce("component", "doc_id")
+    at = at.select("pivot", "set", "doc_id", "h", "n", "lacked", "added", k.alias("k"), (k != F.coalesce("pk", "pivot")).alias("apart"))
     at = common.materialize(at, "group")
-    sizes = at.groupBy("pivot").agg(F.count("*").alias("g"), F.count_if("apart").alias("u")).filter("u > 0 and g > 1")
+    sizes = at.groupBy("pivot", "set").agg(F.count("*").alias("g"), F.count_if("apart").alias("u")).filter("u > 0 and g > 1")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # small groups share a task's call; large ones are dealt to blocks of their own
     small = F.col("g") <= block // 4
-    sizes = sizes.select("pivot", F.when(small, F.pmod(F.xxhash64("pivot"), F.lit(parts))).otherwise(-1).cast("int").alias("call"),
+    sizes = sizes.select("pivot", "set", F.when(small, F.pmod(F.xxhash64("pivot"), F.lit(parts))).otherwise(-1).cast("int").alias("call"),
                          F.ceil(F.col("u") / block).cast("int").alias("nu"), F.ceil(F.col("g") / block).cast("int").alias("ng"))
-    at = at.join(sizes, "pivot")
+    at = at.join(sizes, ["pivot", "set"])
     mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["call", "pivot", "doc_id", "h", "n", "lacked", "added", "k"]
+    cols = ["call", "pivot", "set", "doc_id", "h", "n", "lacked", "added", "k"]
     left = at.filter("apart").select(*cols, mine("nu").alias("bu"), every("ng").alias("bg"), F.lit(0).alias("side"))
     right = at.select(*cols, every("nu").alias("bu"), mine("ng").alias("bg"), F.lit(1).alias("side"))
     both = left.unionByName(right).withColumn("at", F.when(F.col("call") < 0, F.col("pivot")))
@@ -333,11 +352,12 @@ def _same_pivot(attached: DataFrame, comp: DataFrame, percent: int, block: int =
 
         src, dst = [], []
         t = t.combine_chunks()
-        pivots, side, ids, k = (t.column(c).to_numpy() for c in ("pivot", "side", "doc_id", "k"))
+        pivots, sets, side, ids, k = (t.column(c).to_numpy() for c in ("pivot", "set", "side", "doc_id", "k"))
         h, n = t.column("h").to_numpy(), t.column("n").to_numpy()
         lacked, added = t.column("lacked"), t.column("added")
-        order = np.argsort(pivots, kind="stable")
-        starts = np.nonzero(np.r_[True, pivots[order][1:] != pivots[order][:-1]])[0]
+        order = np.lexsort((sets, pivots))
+        p, q = pivots[order], sets[order]
+        starts = np.nonzero(np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])])[0]
         for s, e in zip(starts, [*starts[1:], len(order)]):
             rows = order[s:e]
             a, b = rows[side[rows] == 0], rows[side[rows] == 1]
