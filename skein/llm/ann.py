@@ -30,8 +30,9 @@ FIT_VALUES = 1 << 23
 #: Rows of the table for each list, and sample rows that a list needs at least; so there are FIT_ROWS / FIT_LIST lists at most.
 LIST_ROWS = 16
 FIT_LIST = 8
-#: Lists of a group.
+#: Lists of a group, and queries that a task looks up.
 GROUP = 64
+QUERIES = 256
 
 
 class CentroidGraph:
@@ -198,7 +199,7 @@ def search(vecs: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "
     listed = common.materialize(listed, "listed")
     asked = rows.filter(F.col("vec_id") % query_every == 0)
     first = common.materialize(asked.groupBy("dim", "h", "vec").agg(F.min("vec_id").alias("first")), "queries")
-    found = spark.createDataFrame([], "first long, vec_id long, score double")
+    found, used = spark.createDataFrame([], "first long, vec_id long, score double"), [listed]
     for dim, n in sorted(map(tuple, listed.groupBy("dim").count().collect())):  # the kinds of embedding, not the rows
         same = F.col("dim") == dim
         fit = min(fit_rows, max(1024, FIT_VALUES // max(dim, 1)))
@@ -206,8 +207,13 @@ def search(vecs: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "
         sample = vectors.unit(vectors.matrix(sample)).astype(np.float32)
         lists = max(1, min(-(-n // list_rows), len(sample) // FIT_LIST))
         index = spark.sparkContext.broadcast(Index(sample, lists, k, recall, copies, closure, least))  # at most 4 * FIT_VALUES / FIT_LIST bytes and links
-        found = found.unionByName(_search(listed.filter(same), first.filter(same), index, k + 1, block, query_block))
-    found = common.materialize(found.groupBy("first", "vec_id").agg(F.max("score").alias("score")), "found")  # copies of boundary vectors meet a query more than once
+        queries = first.filter(same)
+        queries = queries.repartition(max(1, -(-queries.count() // QUERIES)))  # a walk costs far more than its row's bytes tell
+        part, tables = _search(listed.filter(same), queries, index, k + 1, block, query_block)
+        found, used = found.unionByName(part), used + tables
+    # copies of boundary vectors meet a query more than once
+    found = common.materialize(found.groupBy("first", "vec_id").agg(F.max("score").alias("score")), "found")
+    common.discard(*used)
     top = found.selectExpr("*", "row_number() over (partition by first order by score desc, vec_id) as _n").filter(F.col("_n") <= k + 1).drop("_n")
     mine = asked.select(F.col("vec_id").alias("query_id"), "h", "vec").join(first.select("h", "vec", "first"), ["h", "vec"]).select("query_id", "first")
     out = mine.join(common.materialize(top, "top"), "first").filter("query_id <> vec_id")
@@ -229,8 +235,8 @@ def _by_group(batch, ids: int, vec: int, row: np.ndarray, lists: np.ndarray, gro
                                       names=["grp", name, "vec", "lists"])
 
 
-def _search(rows: DataFrame, queries: DataFrame, index, k: int, block: int, query_block: int) -> DataFrame:
-    """(first, vec_id, score): for each query of (first, vec) the k best of each group of lists."""
+def _search(rows: DataFrame, queries: DataFrame, index, k: int, block: int, query_block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(first, vec_id, score) and the tables it reads: for each query of (first, vec) the k best of each group of lists."""
 
     def post(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -295,5 +301,6 @@ def _search(rows: DataFrame, queries: DataFrame, index, k: int, block: int, quer
         keep = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)])) < k
         return pa.Table.from_arrays([pa.array(qi[i[keep]]), pa.array(vi[j[keep]]), pa.array(exact[keep])], schema=schema)
 
-    return s.select("grp", "v", "q", "first", "vec", "lists").groupBy("grp", "v", "q").cogroup(
+    found = s.select("grp", "v", "q", "first", "vec", "lists").groupBy("grp", "v", "q").cogroup(
         p.select("grp", "v", "q", "vec_id", "vec", "lists").groupBy("grp", "v", "q")).applyInArrow(score, "first long, vec_id long, score double")
+    return found, [posted, probes]

@@ -138,15 +138,17 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.95, recall: float = 0.
     rows = common.materialize(vectors.valid_vectors(vecs, id_col, vec_col).withColumn("h", F.xxhash64("vec")), "vectors")
     classes = rows.groupBy("dim", "h", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     classes = common.materialize(classes, "classes")
-    found = spark.createDataFrame([], "rep long, n long, root long")
+    found, used = spark.createDataFrame([], "rep long, n long, root long"), [classes]
     for dim, n in sorted(map(tuple, classes.groupBy("dim").count().collect())):  # the kinds of embedding, not the rows
-        found = found.unionByName(_links(classes.filter(F.col("dim") == dim), dim, n, threshold, recall, cell_rows, block_rows))
+        part, tables = _links(classes.filter(F.col("dim") == dim), dim, n, threshold, recall, cell_rows, block_rows)
+        found, used = found.unionByName(part), used + tables
     found = common.materialize(found, "links")
     comp = common.connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     degree = found.groupBy("rep").agg(F.sum("n").alias("n"))
     each = classes.select("rep", "size", "h", "vec").join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     each = common.materialize(each.select("rep", "size", "h", "vec", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"),
                                           F.coalesce("component", "rep").alias("component_id")), "classes")
+    common.discard(*used, found)
     cols = ["vec_id", "n_links", "component_id"]
     single = each.filter("size = 1").withColumnRenamed("rep", "vec_id").select(cols)
     # both sides are written, so that adaptive execution splits the partition of a vector with many copies
@@ -165,8 +167,8 @@ def fit_orders(classes: DataFrame, n: int, threshold: float, recall: float, cell
     return Orders(vectors.unit(vectors.matrix(sample)), cuts, threshold, recall)
 
 
-def _links(classes: DataFrame, dim: int, n: int, threshold: float, recall: float, cell_rows: int, block_rows: int) -> DataFrame:
-    """(rep, n, root): for each block of a cell the copies a vector links with and the smallest id that links reach there."""
+def _links(classes: DataFrame, dim: int, n: int, threshold: float, recall: float, cell_rows: int, block_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rep, n, root) and the tables it reads: for each block of a cell the copies a vector links with and the smallest id that links reach there."""
     spark = classes.sparkSession
     a = directions(dim, PROJECTIONS)
     # nine tenths of the losses are the cells', a tenth the counts'
@@ -230,4 +232,4 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float, recall: float
         at = np.nonzero(n)[0]
         return pa.Table.from_arrays([pa.array(ids[at]), pa.array(n[at]), pa.array(ids[root[at]])], schema=schema)
 
-    return rows.groupBy("order", "cell", "i", "j").applyInArrow(count, "rep long, n long, root long")
+    return rows.groupBy("order", "cell", "i", "j").applyInArrow(count, "rep long, n long, root long"), [placed, large]

@@ -94,6 +94,47 @@ def test_jaccard_small_sets_and_edges(spark):
     assert jaccard.join(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_jaccard_of_repeated_ids_with_other_texts(spark, block, monkeypatch):
+    """Many near copies of one base, ids with two texts each, in long lists and in blocks of one pivot."""
+    rng = random.Random(31)
+    base = words(rng, 60)
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i // 2, " ".join(w)))
+    monkeypatch.setattr(jaccard, "LONG_LIST", 4)
+    same = jaccard._same_pivot
+    monkeypatch.setattr(jaccard, "_same_pivot", lambda a, c, p: same(a, c, p, block))
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs(spark, rows), 80, 5).collect()}
+    sets = [(i, set(jaccard.shingle_set(t).tolist())) for i, t in rows]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 80 * len(x | y)]
+    root = {i: i for i, _ in rows}
+    while True:
+        new = dict(root)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            break
+        root = new
+    assert got == root and len(set(root.values())) > 1
+
+
+def test_words_of_texts_longer_than_a_segment():
+    rng = random.Random(32)
+    text = " ".join(words(rng, 300_000)) + "\n" + "x" * (3 << 20) + " end"
+    whole = jaccard.shingle_set(text)
+    w = text.split()
+    assert len(text) > 4 << 20
+    from skein.llm import shingles
+
+    each = {x: int(shingles.word_hashes(x)[0]) for x in set(w)}
+    assert [each[x] for x in w] == shingles.word_hashes(text).tolist()
+    assert len(whole) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+
+
 def test_shingles_follow_the_definition():
     text = "The QUICK\tbrown\x0bfox ÄÖ\njumps\x85over"
     w = text.encode().lower().split()
@@ -426,7 +467,6 @@ def check_packing(spark, rows, capacity=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = packing.pack_documents(docs(spark, rows), RANKS, PATTERN, capacity, with_ids=True).collect()
     want = Counter()
     for i, text in rows:
