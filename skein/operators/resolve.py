@@ -229,19 +229,36 @@ def merge_rows(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("id",))
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 
-def resolve_calls(sites: DataFrame, methods: DataFrame, imports: DataFrame, fields: DataFrame, impls: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ancestors(parents: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(start, class_fqn, up): the classes above each class of parents (child_fqn, parent_fqn), with the least number of steps."""
+    step = parents.select(F.col("child_fqn").alias("start"), F.col("parent_fqn").alias("class_fqn")).filter("start <> class_fqn").distinct()
+    level = step.withColumn("up", F.lit(1))
+    met = [level]
+    for up in range(2, max_depth + 1):
+        above = step.select(F.col("start").alias("class_fqn"), F.col("class_fqn").alias("next"))
+        level = level.join(above, "class_fqn").select("start", F.col("next").alias("class_fqn")).distinct().withColumn("up", F.lit(up))
+        met.append(level)
+    # on a cycle a class is not above itself
+    return union_all(met).filter("start <> class_fqn").groupBy("start", "class_fqn").agg(F.min("up").alias("up"))
+
+
+def resolve_calls(sites: DataFrame, methods: DataFrame, imports: DataFrame, fields: DataFrame, impls: DataFrame,
+                  parents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(calls, stubs) for call sites.
 
     sites: site_id, caller_id, caller_class (fqn), package, file_id, receiver (''
     for none), callee, argc. methods: id, name, class_fqn, class_name, file_id,
     file_path, line_start, is_static. imports: file_id, simple, fqn. fields:
     class_fqn, field, type (simple name). impls: interface_name, class_fqn.
+    parents: child_fqn, parent_fqn (extends and implements).
 
     Candidates carry a precedence: the receiver as a type, the receiver's declared
     type, the caller's own class, an imported class, a class of the same package,
-    an implementation of the declared interface, any class. The best of each site
-    wins, ties by (file_path, line_start, id); the caller itself is never one.
-    What has none becomes a stub (src, callee_name).
+    an implementation of the declared interface, any class. A type or the own
+    class stands for the classes above it too, the nearest that has the method
+    first; `super` means these alone. The best of each site wins, ties by
+    (file_path, line_start, id); the caller itself is never one. What has none
+    becomes a stub (src, callee_name).
     """
     s = sites.withColumn("recv", F.substring_index("receiver", ".", -1))
     m = methods.select(F.col("id").alias("dst"), F.col("name").alias("callee"), "class_fqn", "class_name", "file_path", "line_start")
@@ -252,15 +269,30 @@ def resolve_calls(sites: DataFrame, methods: DataFrame, imports: DataFrame, fiel
     cand = cand.join(imp, ["file_id", "class_fqn"], "left")
     di = impls.select(F.col("interface_name").alias("declared"), "class_fqn", F.lit(True).alias("implements")).distinct()
     cand = cand.join(di, ["declared", "class_fqn"], "left")
+    if parents is None:
+        cand = cand.withColumn("above_own", F.lit(None).cast("int")).withColumn("above_type", F.lit(None).cast("int"))
+    else:
+        above = ancestors(parents)
+        own_up = above.select(F.col("start").alias("caller_class"), "class_fqn", F.col("up").alias("above_own"))
+        type_up = above.groupBy(F.substring_index("start", ".", -1).alias("type_name"), "class_fqn").agg(F.min("up").alias("above_type"))
+        cand = cand.join(own_up, ["caller_class", "class_fqn"], "left")
+        cand = cand.withColumn("type_name", F.coalesce("declared", "recv")).join(type_up, ["type_name", "class_fqn"], "left")
     own = F.col("class_fqn") == F.col("caller_class")
     near = F.col("class_fqn") == F.concat_ws(".", F.nullif(F.col("package"), F.lit("")), F.col("class_name"))
     has = F.col("recv") != ""
-    prio = (F.when(has & (F.col("recv") == F.col("class_name")), 0).when(has & (F.col("declared") == F.col("class_name")), 1)
-            .when(F.col("recv").isin("", "this", "super") & own, 2).when(F.col("implements"), 3).when(F.col("imported"), 4)
+    inherited = F.col("recv").isin("", "this", "super") & F.col("above_own").isNotNull()
+    by_type = has & F.col("above_type").isNotNull()
+    prio = (F.when(has & F.col("declared").isNull() & ((F.col("recv") == F.col("class_name")) | by_type), 0)
+            .when(has & ((F.col("recv") == F.col("class_name")) | (F.col("declared") == F.col("class_name")) | by_type), 1)
+            .when(F.col("recv").isin("", "this") & own | inherited, 2).when(F.col("implements"), 3).when(F.col("imported"), 4)
             .when(near, 5).when(own, 6).otherwise(7))
-    # a receiver with a declared type never means a class of another type
-    cand = cand.withColumn("prio", prio).filter(F.col("declared").isNull() | (F.col("prio") <= 3))
-    best = cand.groupBy("site_id", F.col("caller_id").alias("src"), F.col("callee").alias("callee_name"), "argc").agg(F.min_by("dst", F.struct("prio", "file_path", "line_start", "dst")).alias("dst"))
+    up = F.when(F.col("prio") <= 1, F.when((F.col("recv") == F.col("class_name")) | (F.col("declared") == F.col("class_name")), 0).otherwise(F.col("above_type")))
+    up = F.coalesce(up.when(F.col("prio") == 2, F.when(own, 0).otherwise(F.col("above_own"))), F.lit(0))
+    cand = cand.withColumn("prio", prio).withColumn("up", up)
+    # a receiver with a declared type never means a class of another type, and super none but those above
+    cand = cand.filter((F.col("declared").isNull() | (F.col("prio") <= 3)) & ((F.col("recv") != "super") | (F.col("prio") == 2)))
+    best = cand.groupBy("site_id", F.col("caller_id").alias("src"), F.col("callee").alias("callee_name"), "argc").agg(
+        F.min_by("dst", F.struct("prio", "up", "file_path", "line_start", "dst")).alias("dst"))
     pos = F.when(F.col("argc") > 0, 0).otherwise(-1).cast("long")
     calls = best.select("site_id", "src", "dst", "callee_name", pos.alias("caller_arg_pos"), pos.alias("callee_param_pos"))
     full = F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "callee")).otherwise(F.col("callee"))

@@ -73,6 +73,17 @@ def calls(tokens: list[Token], language: str) -> list[Call]:
     return out
 
 
+def references(tokens: list[Token], language: str) -> list[Call]:
+    """Kotlin's references to functions, `::f` and `X::f`, as calls without arguments."""
+    out = []
+    for i, t in enumerate(tokens[:-1]):
+        to = tokens[i + 1]
+        if language == "kotlin" and t.text == "::" and to.kind == "id" and to.text != "class":
+            receiver = tokens[i - 1].text if i and tokens[i - 1].kind == "id" and tokens[i - 1].line == t.line else ""
+            out.append(Call(receiver, to.text, [], i, i + 1, t.line))
+    return out
+
+
 def loops(tokens: list[Token]) -> list[tuple[int, int]]:
     """(begin, end) of every loop with its body."""
     out = []
@@ -125,8 +136,24 @@ def io_calls(sites: list[Call], annotations: list[str]) -> tuple[int, int, int,
     return len(io), parallel, len(io) - parallel, wrapper
 
 
-def requests(sites: list[Call], language: str) -> list[tuple[str, str]]:
-    """(verb, url) of outbound requests; a url that is no literal is DYNAMIC."""
+def built_urls(sites: list[Call], tokens: list[Token]) -> list[tuple[int, str, str]]:
+    """(place, variable or '', url) of every UriComponentsBuilder chain: its base and its literal paths."""
+    out: list[tuple[int, str, str]] = []
+    for c in sites:
+        literal = "".join(t.value for a in c.args[:1] for t in a if t.kind == "str")
+        if c.name in ("fromHttpUrl", "fromUriString") and c.receiver.split(".")[-1] == "UriComponentsBuilder":
+            named = c.at >= 4 and tokens[c.at - 3].text == "=" and tokens[c.at - 4].kind == "id"
+            out.append((c.at, tokens[c.at - 4].text if named else "", literal))
+        elif out and c.name == "path" and c.receiver.startswith("UriComponentsBuilder."):
+            out[-1] = *out[-1][:2], out[-1][2] + literal
+    return out
+
+
+def requests(sites: list[Call], language: str, tokens: list[Token] = ()) -> list[tuple[str, str]]:
+    """(verb, url) of outbound requests. A url is a literal, what a builder puts together, or
+    has `${Class.FIELD}` for a constant; any other is DYNAMIC."""
+    built = built_urls(sites, tokens)
+    variables = {name: value for _, name, value in built if name}
 
     def url(args: list[list[Token]]) -> str:
         parts = args[0] if args else []
@@ -134,7 +161,29 @@ def requests(sites: list[Call], language: str) -> list[tuple[str, str]]:
             return "".join(t.value for t in parts if t.kind == "str")
         if len(parts) == 3 and parts[0].kind == "str" and parts[1].text == "+":
             return parts[0].value + "{" + parts[2].text + "}"
-        return "DYNAMIC"
+        if parts and parts[0].kind == "id" and variables.get(parts[0].text):  # url, url.toString()
+            return variables[parts[0].text]
+        if any(t.text == "UriComponentsBuilder" for t in parts):
+            inside = [value for at, _, value in built if any(tokens[at] is t for t in parts)]
+            return inside[0] if inside and inside[0] else "DYNAMIC"
+        return constant(parts)
+
+    def constant(parts: list[Token]) -> str:
+        out, ref = "", ""
+        for t in [*parts, None]:
+            if t is not None and (t.kind == "id" or t.text == "."):
+                ref += t.text
+                continue
+            if ref:
+                names = ref.split(".")
+                if len(names) < 2 or not names[-2][:1].isupper() or names[-1] != names[-1].upper():
+                    return "DYNAMIC"
+                out, ref = out + "${" + ".".join(names[-2:]) + "}", ""
+            if t is not None and t.kind == "str":
+                out += t.value
+            elif t is not None and t.text != "+":
+                return "DYNAMIC"
+        return out or "DYNAMIC"
 
     out = []
     for k, c in enumerate(sites):

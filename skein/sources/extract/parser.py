@@ -334,9 +334,9 @@ class _Typed:
         total, parallel, serial, wrapper = body.io_calls(sites, own)
         yield "method", {"name": name, "fqn": fqn, "class_fqn": owner["fqn"], "class_name": owner["name"], "package": self.package, "line_start": line, "is_suspend": suspend, "annotations": own, "generated": generated,
                          "is_entry_point": bool(ENTRY & set(own)), "complexity_hint": body.complexity(code, sites, name, names), "io_fanout": total, "io_parallel_count": parallel, "io_serial_count": serial, "io_parallel_wrapper": wrapper}
-        for c in sites:
+        for c in [*sites, *body.references(code, self.language)]:
             yield "site", {"caller_fqn": fqn, "caller_class": owner["fqn"], "package": self.package, "receiver": c.receiver, "callee": c.name, "argc": len(c.args), "line": c.line}
-        for verb, url in body.requests(sites, self.language):
+        for verb, url in body.requests(sites, self.language, code):
             yield "rest", {"caller_fqn": fqn, "http_method": verb, "url_pattern": url}
         for a in own:
             if a in MAPPINGS:
@@ -457,9 +457,9 @@ class _Script:
         entry = exported and (name in ROUTES or "pages" in self.path and "/api/" in self.path)
         yield "method", {"name": name, "fqn": fqn, "class_fqn": owner["fqn"], "class_name": owner["name"], "package": owner["package"], "line_start": t[i].line, "is_suspend": any(x.text == "async" for x in t[max(0, i - 2) : i + 4]), "annotations": [], "generated": False,
                          "is_entry_point": entry, "complexity_hint": body.complexity(code, sites, name, [x[0].text for x in params]), "io_fanout": 0, "io_parallel_count": 0, "io_serial_count": 0, "io_parallel_wrapper": ""}
-        for c in sites:
+        for c in [*sites, *body.references(code, self.language)]:
             yield "site", {"caller_fqn": fqn, "caller_class": owner["fqn"], "package": owner["package"], "receiver": c.receiver, "callee": c.name, "argc": len(c.args), "line": c.line}
-        for verb, url in body.requests(sites, self.language):
+        for verb, url in body.requests(sites, self.language, code):
             yield "rest", {"caller_fqn": fqn, "http_method": verb, "url_pattern": url}
         if entry:
             yield "endpoint", {"http_method": name if name in ROUTES else "GET", "prefix": [], "parts": [self.route()], "handler_fqn": fqn, "kotlin": False, "raw": True}

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein import schema
 from skein.functions import text
 from skein.graph import CodeGraph
 from skein.operators import resolve
@@ -65,6 +66,16 @@ def _whole_paths(ends: DataFrame, constants: DataFrame) -> DataFrame:
     return out.withColumn("path", F.when(F.col("raw"), tail).otherwise(joined))
 
 
+def _whole_urls(rest: DataFrame, constants: DataFrame) -> DataFrame:
+    """Requests with the constant in their url replaced by its value; a url with an unknown one, or with several, is DYNAMIC."""
+    known = constants.groupBy("name").agg(F.min("value").alias("value"))
+    ref = F.regexp_extract("url_pattern", r"\$\{([^}]*)\}", 1)
+    out = rest.withColumn("ref", ref).join(known, F.col("ref") == F.col("name"), "left")
+    whole = F.replace("url_pattern", F.concat(F.lit("${"), "ref", F.lit("}")), F.col("value"))
+    whole = F.when(whole.isNull() | F.contains(whole, F.lit("${")), schema.DYNAMIC_URL).otherwise(whole)
+    return out.withColumn("url_pattern", F.when(F.col("ref") == "", F.col("url_pattern")).otherwise(whole)).drop("ref", "name", "value")
+
+
 def index_files(spark: SparkSession, files: DataFrame, repo: str, root: str = "", framework: bool = True) -> CodeGraph:
     """A graph of files (as sources.code.read_tree gives them) of one repository.
 
@@ -82,7 +93,7 @@ def index_files(spark: SparkSession, files: DataFrame, repo: str, root: str = ""
     ends = _whole_paths(of("endpoint"), of("constant"))
     regex = F.when(F.col("raw"), F.col("path")).otherwise(text.path_regex(F.col("path")))
     endpoint = ends.select(F.md5(F.concat_ws(":", F.lit(repo), "http_method", "path", "handler_fqn")).alias("id"), "http_method", "path", regex.alias("path_regex"), F.when(F.col("handler_fqn") != "", mid("handler_fqn")).otherwise("").alias("handler_method_id"), rid.alias("repo_id")).dropDuplicates(["id"])
-    rest = of("rest").withColumn("i", F.row_number().over(Window.partitionBy("caller_fqn").orderBy("http_method", "url_pattern")))
+    rest = _whole_urls(of("rest"), of("constant")).withColumn("i", F.row_number().over(Window.partitionBy("caller_fqn").orderBy("http_method", "url_pattern")))
     rest = rest.select(F.md5(F.concat_ws(":", F.lit(repo), "caller_fqn", "http_method", "url_pattern", F.col("i").cast("string"))).alias("id"), "http_method", "url_pattern", mid("caller_fqn").alias("caller_method_id"), rid.alias("repo_id"))
     imports = of("import")
     rel = of("relation").join(imports.select("file_id", F.col("simple").alias("target"), F.col("fqn").alias("imported")), ["file_id", "target"], "left")
@@ -91,7 +102,8 @@ def index_files(spark: SparkSession, files: DataFrame, repo: str, root: str = ""
 
     sites = of("site").withColumn("site_id", F.xxhash64("file_id", "caller_fqn", "receiver", "callee", "line", "argc").cast("string")).withColumn("caller_id", mid("caller_fqn")).dropDuplicates(["site_id"])
     for_calls = met.select("id", "name", "class_fqn", "class_name", "file_id", F.col("path").alias("file_path"), "line_start")
-    found, stubs = resolve.resolve_calls(sites, for_calls, imports, of("field").dropDuplicates(["class_fqn", "field"]), of("impl"))
+    parents = materialize(resolve.resolve_parents(of("parent"), imports, cls), "parents")
+    found, stubs = resolve.resolve_calls(sites, for_calls, imports, of("field").dropDuplicates(["class_fqn", "field"]), of("impl"), parents)
     found, stubs = materialize(found, "calls"), materialize(stubs, "stubs")
     calls = found.groupBy("src", "dst").agg(F.min("callee_name").alias("callee_name"), F.max("caller_arg_pos").alias("caller_arg_pos"), F.max("callee_param_pos").alias("callee_param_pos"))
     # a constructor of a class that is not here makes no stub
@@ -105,7 +117,6 @@ def index_files(spark: SparkSession, files: DataFrame, repo: str, root: str = ""
         "repo": spark.range(1).select(rid.alias("id"), F.lit(repo).alias("name"), F.lit(root).alias("root_path")), "file": files.withColumn("repo_id", rid), "branch": branches, "class": cls, "method": met, "endpoint": endpoint,
         "rest_call": rest_rows.unionByName(stub_rows.select(rest_rows.columns)), "entity_relation": rel, "calls": calls, "unresolved_call": kinds, "contains_class": edge(cls, "file_id", "id"),
         "contains_method": edge(met, "class_id", "id"), "exposes": edge(endpoint, "repo_id", "id"), "has_branch": edge(branches, "repo_id", "id"), "has_relation": edge(rel, "source_class_id", "id")})
-    parents = resolve.resolve_parents(of("parent"), imports, g["class"])
     g, kin = resolve.external_stubs(g, parents)
     g = g.with_tables(extends=kin.filter("kind = 'extends'"), implements=kin.filter("kind = 'implements'"))
     g = g.union(calls=resolve.virtual_dispatch(g))

@@ -152,3 +152,39 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
     assert [(r.endpoint_fqn, r.n, r.p50_ms, r.p99_ms, r.rps) for r in got] == [("a", 6, 20.0, 50.0, 0.1)] * 2
+
+
+INHERITED = {
+    "a/Z.java": "package p;\npublic class Z { void shared() {} void foo() {} }",
+    "a/B.java": "package p;\npublic class B extends Z { void foo() { super.foo(); shared(); super.none(); } }",
+    "a/A.java": "package p;\npublic class A { void foo() {} void none() {} }",
+    "a/User.java": """package p;
+public class User {
+    private B helper;
+    void go() { helper.shared(); helper.foo(); }
+    void call(long id) {
+        String url = UriComponentsBuilder.fromHttpUrl("http://svc").path("/users").path("/all").toUriString();
+        restTemplate.getForObject(url, String.class);
+        restTemplate.getForObject(UriComponentsBuilder.fromUriString("/inline").toUriString(), String.class);
+        restTemplate.getForObject(Urls.BASE + "/x", String.class);
+        restTemplate.getForObject(Urls.GONE + "/x", String.class);
+        restTemplate.getForObject(id, String.class);
+    }
+}""",
+    "a/Urls.java": 'package p;\npublic class Urls { public static final String BASE = "http://h/base"; }',
+    "a/K.kt": "package k\nclass K {\n  fun b(x: Int) = x\n  fun all(xs: List<Int>) { xs.map(this::b)\n    xs.forEach(::c) }\n}\nfun c(x: Int) = x\n",
+}
+
+
+def test_inherited_methods_references_and_urls(spark, tmp_path):
+    for name, text in INHERITED.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    g = index.index_repo(spark, str(tmp_path), "kin")
+    fqn = {r.id: r.fqn for r in g.method.select("id", "fqn").collect()}
+    edges = {(fqn[r.src], fqn[r.dst]) for r in g.calls.collect()}
+    assert {("p.B.foo", "p.Z.foo"), ("p.B.foo", "p.Z.shared"), ("p.User.go", "p.Z.shared"), ("p.User.go", "p.B.foo"), ("k.K.all", "k.K.b"), ("k.K.all", "k.KKt.c")} <= edges
+    assert not {("p.B.foo", "p.A.foo"), ("p.B.foo", "p.A.none"), ("p.User.go", "p.A.foo"), ("p.User.go", "p.Z.foo")} & edges
+    assert "super.none" in {r.callee_name for r in g.rest_call.collect()}
+    urls = sorted(r.url_pattern for r in g.rest_call.filter("url_pattern <> 'UNRESOLVED'").collect())
+    assert urls == ["/inline", "DYNAMIC", "DYNAMIC", "http://h/base/x", "http://svc/users/all"]

@@ -227,6 +227,20 @@ def test_call_resolution(spark):
     assert rows(stubs, "site_id", "callee_name") == [("e", "x.gone"), ("f", "this.run")]
 
 
+def test_call_resolution_up_the_hierarchy(spark):
+    """Nearest class above first; super never means the own class, nor a class that only shares the package."""
+    m = lambda i, n, c: (i, n, f"p.{c}", c, "f", f"{c}.java", 1)
+    methods = spark.createDataFrame([m("0", "run", "C"), m("1", "go", "A"), m("2", "go", "B"), m("3", "go", "Z"), m("4", "deep", "Z"), m("5", "go", "C"), m("6", "lone", "A")], "id string, name string, class_fqn string, class_name string, file_id string, file_path string, line_start int")
+    sites = spark.createDataFrame([(i, "0", "p.C", "p", "f", r, c, 0) for i, r, c in (("a", "super", "go"), ("b", "super", "deep"), ("c", "", "deep"), ("d", "super", "lone"), ("e", "x", "deep"), ("f", "B", "deep"), ("g", "this", "go"))],
+                                  "site_id string, caller_id string, caller_class string, package string, file_id string, receiver string, callee string, argc int")
+    parents = spark.createDataFrame([("p.C", "p.B"), ("p.B", "p.Z"), ("p.Z", "p.C"), ("p.A", "p.A")], "child_fqn string, parent_fqn string")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    fields = spark.createDataFrame([("p.C", "x", "B")], "class_fqn string, field string, type string")
+    found, stubs = resolve.resolve_calls(sites, methods, none("file_id string, simple string, fqn string"), fields, none("interface_name string, class_fqn string"), parents)
+    assert rows(found, "site_id", "dst") == [("a", "2"), ("b", "4"), ("c", "4"), ("e", "4"), ("f", "4"), ("g", "5")]
+    assert rows(stubs, "site_id") == [("d",)]
+
+
 def test_incremental_and_delete(spark, g):
     f = "path string, repo_id string, branch_name string, blob_hash string"
     a = spark.createDataFrame([("x", "r", "m", "1"), ("y", "r", "m", "2"), ("z", "r", "m", "3")], f)
