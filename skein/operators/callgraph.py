@@ -66,15 +66,24 @@ def find_repo_dependencies(g: CodeGraph, repo: str | None = None) -> DataFrame:
     return g.depends_on.join(g.repos(repo).withColumnRenamed("repo_id", "src"), "src").join(to, "dst").select("repo_name", "name")
 
 
-def blast_radius(g: CodeGraph, method_fqn: str | list[str] | None = None, max_depth: int = 3, exclude_generated: bool = False, include_synthetic: bool = False) -> DataFrame:
-    """method_fqn, fqn, file_path, depth: transitive callers with their least depth (10 at most).
+def _of(fqns: DataFrame, col: str, wanted: str | list[str] | DataFrame | None) -> DataFrame:
+    """The rows whose col is wanted: a name, some names, a table (fqn), or None for all."""
+    if wanted is None:
+        return fqns
+    if isinstance(wanted, DataFrame):
+        return fqns.join(wanted.select(F.col("fqn").alias("_wanted")).distinct(), F.col(col) == F.col("_wanted"), "left_semi")
+    return fqns.filter(F.col(col).isin([wanted] if isinstance(wanted, str) else list(wanted)))
+
+
+def blast_radius(g: CodeGraph, method_fqn: str | list[str] | DataFrame | None = None, max_depth: int = 3, exclude_generated: bool = False,
+                 include_synthetic: bool = False) -> DataFrame:
+    """method_fqn, fqn, file_path, depth: transitive callers with their least depth (10 at most), of
+    a method, of some, of those in a table (fqn), or of all.
 
     The search runs on fqns; a method on a cycle is among its own callers.
     Callers without a file are neither listed nor passed.
     """
-    seeds = g.method.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node")).distinct()
-    if method_fqn is not None:
-        seeds = seeds.filter(F.col("seed").isin([method_fqn] if isinstance(method_fqn, str) else list(method_fqn)))
+    seeds = _of(g.method.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node")).distinct(), "seed", method_fqn)
     calls = g.calls if include_synthetic else g.calls.filter(F.col("caller_arg_pos") != SYNTHETIC_ARG_POS)
     to = g.method.select(F.col("id").alias("dst"), F.col("fqn").alias("callee"))
     up = _located(g, calls, "src", exclude_generated).join(to, "dst")
@@ -201,11 +210,11 @@ def find_external_calls(g: CodeGraph, repo: str | None = None) -> DataFrame:
     return out.orderBy(F.desc("call_count"), "repo_name", "caller_fqn", "callee_name")
 
 
-def impacted_endpoints(g: CodeGraph, changed: list[str] | None = None, max_depth: int = 5) -> DataFrame:
+def impacted_endpoints(g: CodeGraph, changed: list[str] | DataFrame | None = None, max_depth: int = 5) -> DataFrame:
     """http_method, path, handler_fqn, repo_name: endpoints whose handler is a changed
-    method or calls one within max_depth steps. changed None: all methods."""
+    method or calls one within max_depth steps. changed: names, or a table (fqn); None: all methods."""
     hit = blast_radius(g, changed, max_depth).select("fqn").distinct()
-    own = g.method.select("fqn") if changed is None else g.method.filter(F.col("fqn").isin(list(changed))).select("fqn")
+    own = _of(g.method.select("fqn"), "fqn", changed)
     return list_endpoints(g).join(hit.unionByName(own.distinct()).distinct(), F.col("handler_fqn") == F.col("fqn"), "left_semi")
 
 

@@ -219,8 +219,7 @@ def q17_graph_nodes(g: CodeGraph) -> DataFrame:
 b(node, depth) AS (SELECT fqn, 0 FROM changed UNION SELECT dst, depth + 1 FROM b JOIN up ON src = node WHERE depth < 5)
 SELECT e.http_method, e.path, m.fqn AS handler_fqn, r.name AS repo_name FROM g_endpoint e JOIN g_method m ON m.id = e.handler_method_id JOIN g_repo r ON r.id = e.repo_id WHERE m.fqn IN (SELECT node FROM b)""")
 def q18_impacted_endpoints(g: CodeGraph) -> DataFrame:
-    changed = [r.fqn for r in g.method.filter("name = 'save'").select("fqn").collect()]  # the changed methods of one diff
-    return callgraph.impacted_endpoints(g, changed, 5)
+    return callgraph.impacted_endpoints(g, g.method.filter("name = 'save'").select("fqn"), 5)  # the changed methods of one diff
 
 
 # --- entities ----------------------------------------------------------------
@@ -359,24 +358,21 @@ def q33_find_io_fanout(g: CodeGraph) -> DataFrame:
     return perf.find_io_fanout(g)
 
 
-def _samples(g: CodeGraph) -> DataFrame:
-    return g.perf_sample.filter("repo_id = '1'")
-
-
-_LINK = """s AS (SELECT DISTINCT ON (endpoint_fqn) endpoint_fqn, p50_ms, p99_ms, rps FROM g_perf WHERE repo_id = '1' ORDER BY endpoint_fqn, p99_ms DESC, p50_ms DESC, rps DESC),
-x AS (SELECT s.endpoint_fqn, m.id FROM s JOIN g_method m ON m.fqn = s.endpoint_fqn AND m.repo_id = '1'),
-n AS (SELECT s.endpoint_fqn, m.id FROM s JOIN g_method m ON m.name = split_part(split_part(s.endpoint_fqn, '.', -1), '/', -1) AND m.repo_id = '1' WHERE s.endpoint_fqn NOT IN (SELECT endpoint_fqn FROM x)),
+_LINK = """s AS (SELECT DISTINCT ON (repo_id, endpoint_fqn) repo_id, endpoint_fqn, p50_ms, p99_ms, rps FROM g_perf ORDER BY repo_id, endpoint_fqn, p99_ms DESC, p50_ms DESC, rps DESC),
+x AS (SELECT s.repo_id, s.endpoint_fqn, m.id FROM s JOIN g_method m ON m.fqn = s.endpoint_fqn AND m.repo_id = s.repo_id),
+n AS (SELECT s.repo_id, s.endpoint_fqn, m.id FROM s JOIN g_method m ON m.name = split_part(split_part(s.endpoint_fqn, '.', -1), '/', -1) AND m.repo_id = s.repo_id
+  WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.repo_id = s.repo_id AND x.endpoint_fqn = s.endpoint_fqn)),
 a AS (SELECT * FROM x UNION ALL SELECT * FROM n)"""
 
 
-@_query(f"WITH {_LINK} SELECT (SELECT count(*) FROM s) AS ingested, (SELECT count(DISTINCT id) FROM a) AS matched_methods, (SELECT count(*) FROM s WHERE endpoint_fqn NOT IN (SELECT endpoint_fqn FROM a)) AS unmatched")
+@_query(f"WITH {_LINK} SELECT (SELECT count(*) FROM s) AS ingested, (SELECT count(DISTINCT id) FROM a) AS matched_methods, (SELECT count(*) FROM s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.repo_id = s.repo_id AND a.endpoint_fqn = s.endpoint_fqn)) AS unmatched")
 def q34_ingest_perf_counts(g: CodeGraph) -> DataFrame:
-    return perf.link_samples(g, _samples(g), "AMERICA")[2]
+    return perf.link_samples(g, g.perf_sample)[2]
 
 
-@_query(f"WITH {_LINK} SELECT a.id AS src, md5('1:' || a.endpoint_fqn) AS dst FROM a")
+@_query(f"WITH {_LINK} SELECT a.id AS src, md5(a.repo_id || ':' || a.endpoint_fqn) AS dst FROM a")
 def q34_ingest_perf_edges(g: CodeGraph) -> DataFrame:
-    return perf.link_samples(g, _samples(g), "AMERICA")[1]
+    return perf.link_samples(g, g.perf_sample)[1]
 
 
 @_query("""SELECT event_type || '/' || CAST(user_id % 10 AS VARCHAR) AS endpoint_fqn, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50_ms, CAST(quantile_disc(value, 0.99) AS DOUBLE) AS p99_ms,
