@@ -37,7 +37,7 @@ def main() -> None:
         g = CodeGraph.read(spark, f"{tmp}/graph")
         requests = testdata.view(spark, sf_dir, "g_request").selectExpr(
             "cast(k as string) as endpoint_fqn", "ms as elapsed_ms", "event_id as start_ms", "event_id + cast(ms as bigint) as end_ms")
-        seeds = [r.fqn for r in g.method.select("fqn").orderBy("id").take(200)]
+        seeds = [r.fqn for r in g.method.orderBy("id").select("fqn").take(200)]
         seed = seeds[0]
         runs = {
             "find_callers_all": lambda: callgraph.find_callers(g),
