@@ -11,6 +11,7 @@ rows and keeps none.
 import json
 import os
 import statistics
+import sys
 import tempfile
 import time
 
@@ -59,6 +60,7 @@ def main() -> None:
                 run().write.format("noop").mode("overwrite").save()
                 each.append(time.time() - began)
             times[name] = statistics.median(each[1:])
+            print(name, [round(t, 2) for t in each], file=sys.stderr, flush=True)
     spark.stop()
     out = {k: round(v, 3) for k, v in times.items()}
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
