@@ -9,6 +9,11 @@ lambda follows from the token scores, K from the clean training texts. That
 turns a score into a p-value, whatever the document's length; the significant
 segments' normalised scores are summed, and a logistic fit on the training
 documents maps the sum to a probability.
+
+The prior's weight and the significance level are chosen by cross-fitting on the
+training texts alone: each text is scanned with the tokens of the other folds, and
+the setting with the least logistic loss stays. K and the logistic fit use the same
+scans, so no text is judged by tokens that it supplied itself.
 """
 
 from __future__ import annotations
@@ -26,9 +31,12 @@ from skein.llm import common
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of the id.
 TRAIN_ROWS = 20_000
-#: The prior's weight: pseudo-counts for each count in the training texts.
-PRIOR = 0.1
-SIGNIFICANT_Z = 2.5
+#: Folds of the training texts, by a hash of the text.
+FOLDS = 3
+#: The prior's weights to choose from: pseudo-counts for each count in the training texts.
+PRIORS = (0.01, 0.1, 1.0)
+#: The significance levels to choose from, in standard errors.
+LEVELS = (2.0, 2.5, 3.0)
 #: Score of tokens without a significant score of their own.
 DRIFT = -0.3
 #: A segment counts if random text has it with less than this probability.
@@ -66,6 +74,11 @@ class Model:
                 out.append((x, a, b, p))
         return out
 
+    def kept(self, scores: list[float], n: int) -> list[tuple[float, int, int, float]]:
+        """As significant, of segment scores without their places."""
+        found = ((x, 0, 0, -math.expm1(-math.exp(min(-x, 700.0)))) for x in (self.normalised(s, n) for s in scores))
+        return [f for f in found if f[3] < SEGMENT_P]
+
     def features(self, found: list[tuple[float, int, int, float]]) -> tuple[float, float]:
         return math.log1p(sum(x for x, *_ in found)), math.log1p(max((x for x, *_ in found), default=0.0))
 
@@ -156,74 +169,113 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = common.materialize(chosen, "train")  # at most TRAIN_ROWS rows, so it can be sent to every task
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     once = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    once = common.materialize(once.select("doc_id", "toxic"), "train")
+    once = common.materialize(once.select("doc_id", "toxic", F.pmod(F.crc32("k"), F.lit(FOLDS)).cast("int").alias("fold")), "train")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(once), "doc_id")
+    texts = texts.select("text", "toxic", "fold")
 
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from collections import Counter
-
-        seen = Counter(), Counter()
-        for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1)):
-                seen[y.as_py()].update(set(tokens(text.as_py())))  # once a text: a passage that repeats a word is one witness
-            if len(seen[0]) + len(seen[1]) > 300_000:
-                yield rows(seen)
-                seen = Counter(), Counter()
-        yield rows(seen)
-
-    def rows(seen):
-        import pyarrow as pa
-
-        words = sorted(seen[0].keys() | seen[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["w", "y", "x"])
-
-    counts = texts.select("text", "toxic").mapInArrow(count, "w string, y long, x long").groupBy("w").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
-    counts = common.materialize(counts, "words")
+    counts = common.materialize(_token_counts(texts), "words")
     n1, n0 = counts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum("x"), F.lit(0))).first()
     if not n1 or not n0:
         return Model()
-    a0 = PRIOR * (n1 + n0)
-    a = (F.col("y") + F.col("x")) * PRIOR
-    scored = counts.withColumn("a", a).selectExpr(
-        "w", f"(x + a) / {n0 + a0!r}D as p",
-        f"ln((y + a) / ({n1 + a0!r}D - y - a)) - ln((x + a) / ({n0 + a0!r}D - x - a)) as s",
-        "sqrt(1 / (y + a) + 1 / (x + a)) as e")
-    # significant words of a bounded number of texts
-    table = scored.filter(F.abs(F.col("s")) >= SIGNIFICANT_Z * F.col("e")).orderBy("w").collect()
-    model = Model(scores={r.w: r.s for r in table})
-    s, p = np.array([r.s for r in table]), np.array([r.p for r in table])
-    model.lam = _lambda(s, p, max(0.0, 1 - float(p.sum()))) if len(table) else 1.0
+    models = _token_models(counts)
+    grid = [(prior, z) for prior in PRIORS for z in LEVELS]
+    crossed = spark.sparkContext.broadcast([[models[f, g] for g in grid] for f in range(FOLDS)])
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             y, n, tops = [], [], []
-            for text, t in zip(batch.column(0), batch.column(1)):
+            for text, t, f in zip(*batch.columns):
                 words = tokens(text.as_py())
                 y.append(t.as_py())
                 n.append(len(words))
-                tops.append([x for x, *_ in model.segments(words)])
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(tops, pa.list_(pa.float64()))], names=["y", "n", "s"])
-
-    seen = texts.select("text", "toxic").mapInArrow(measure, "y int, n long, s array<double>").collect()  # a row for each training text
-    clean = [r for r in seen if r.y == 0]
-    least = min((x for r in seen for x in r.s), default=0.0)
-    found = sum(len(r.s) for r in clean)
-    model.k = max(1e-9, (found + 1) / (max(1, sum(r.n for r in clean)) * math.exp(-model.lam * least)))
-
-    def features(r) -> tuple[float, float]:
-        kept = []
-        for v in r.s:
-            x = model.normalised(v, r.n)
-            if -math.expm1(-math.exp(min(-x, 700.0))) < SEGMENT_P:
-                kept.append((x, 0, 0, 0.0))
-        return model.features(kept)
-
-    order = sorted(seen, key=lambda r: (r.y, r.n, r.s))  # sums in one order, whatever the tasks' order
-    model.weights = _logistic(np.array([features(r) for r in order]), np.array([r.y for r in order], dtype=float))
-    return model
+                tops.append([[x for x, *_ in m.segments(words)] for m in crossed.value[f.as_py()]])
+            kinds = pa.int32(), pa.int64(), pa.list_(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((y, n, tops), kinds)], names=["y", "n", "s"])
+
+    measured = texts.mapInArrow(measure, "y int, n long, s array<array<double>>")
+    seen = measured.collect()  # a row for each training text
+    seen.sort(key=lambda r: (r.y, r.n, r.s))  # sums in one order, whatever the tasks' order
+    y = np.array([r.y for r in seen], dtype=float)
+    best = None
+    for i, g in enumerate(grid):
+        model = models[None, g]
+        _calibrate_k(model, [(r.n, r.s[i]) for r in seen if r.y == 0])
+        x = np.array([model.features(model.kept(r.s[i], r.n)) for r in seen])
+        model.weights = _logistic(x, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ np.array(model.weights), -700, 700))), 1e-12, 1 - 1e-12)
+        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        if best is None or loss < best[0] - 1e-12:
+            best = loss, model
+    return best[1]
+
+
+def _token_counts(texts: DataFrame) -> DataFrame:
+    """(fold, w, y, x): toxic and clean texts (text, toxic, fold) of a fold that hold a word."""
+
+    def count(batches: Iterator) -> Iterator:
+        from collections import Counter, defaultdict
+
+        seen = defaultdict(Counter)
+        for batch in batches:
+            for text, y, f in zip(*batch.columns):
+                seen[f.as_py(), y.as_py()].update(set(tokens(text.as_py())))  # once a text: a passage that repeats a word is one witness
+            if sum(map(len, seen.values())) > 300_000:
+                yield from rows(seen)
+                seen.clear()
+        yield from rows(seen)
+
+    def rows(seen):
+        import pyarrow as pa
+
+        for f in sorted({f for f, _ in seen}):
+            toxic, clean = seen.get((f, 1), {}), seen.get((f, 0), {})
+            words = sorted(toxic.keys() | clean.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f] * len(words), pa.int32()), pa.array(words, pa.string()), pa.array([toxic.get(w, 0) for w in words], pa.int64()),
+                 pa.array([clean.get(w, 0) for w in words], pa.int64())], names=["fold", "w", "y", "x"])
+
+    return texts.mapInArrow(count, "fold int, w string, y long, x long").groupBy("fold", "w").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
+
+
+def _token_models(counts: DataFrame) -> dict[tuple[int | None, tuple[float, float]], Model]:
+    """Token scores and lambda by (fold left out or None, (prior's weight, significance level))."""
+    total = {r.fold: (r.y, r.x) for r in counts.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("x").alias("x")).collect()}
+    per = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in "yx"]
+    wide = counts.groupBy("w").agg(F.sum("y").alias("y"), F.sum("x").alias("x"), *per)
+    every = sum(v[0] for v in total.values()), sum(v[1] for v in total.values())
+    sets = [(-1, F.col("y"), F.col("x"), *every)]
+    for f in range(FOLDS):
+        t, c = total.get(f, (0, 0))
+        sets.append((f, F.col("y") - F.col(f"y{f}"), F.col("x") - F.col(f"x{f}"), every[0] - t, every[1] - c))
+    rows = [F.struct(F.lit(f).alias("fold"), y.alias("y"), x.alias("x"), F.lit(n1).cast("double").alias("n1"), F.lit(n0).cast("double").alias("n0"),
+                     F.lit(float(q)).alias("q")) for f, y, x, n1, n0 in sets if n1 and n0 for q in PRIORS]
+    long = wide.select("w", F.explode(F.array(*rows)).alias("r")).select("w", "r.*").filter("y + x > 0")
+    long = long.withColumn("a", F.expr("(y + x) * q")).withColumn("a0", F.expr("q * (n1 + n0)"))
+    scored = long.selectExpr(
+        "fold", "q", "w", "(x + a) / (n0 + a0) as p", "ln((y + a) / (n1 + a0 - y - a)) - ln((x + a) / (n0 + a0 - x - a)) as s",
+        "sqrt(1 / (y + a) + 1 / (x + a)) as e").withColumn("z", F.expr("abs(s) / e"))
+    # significant words of a bounded number of texts
+    table = scored.filter(F.col("z") >= min(LEVELS)).orderBy("fold", "q", "w").collect()
+    out = {}
+    for f in (None, *range(FOLDS)):
+        for q in PRIORS:
+            mine = [r for r in table if r.fold == (-1 if f is None else f) and r.q == q]
+            for z in LEVELS:
+                words = [r for r in mine if r.z >= z]
+                m = out[f, (q, z)] = Model(scores={r.w: r.s for r in words})
+                if words:
+                    p = np.array([r.p for r in words])
+                    m.lam = _lambda(np.array([r.s for r in words]), p, max(0.0, 1 - float(p.sum())))
+    return out
+
+
+def _calibrate_k(model: Model, clean: list[tuple[int, list[float]]]) -> None:
+    """K from the segments' scores in clean texts, (tokens, scores) each."""
+    scores = [x for _, s in clean for x in s]
+    least = min(scores, default=0.0)
+    model.k = max(1e-9, (len(scores) + 1) / (max(1, sum(n for n, _ in clean)) * math.exp(-model.lam * least)))
 
 
 PASSAGES = "array<struct<start:int,end:int,score:double,p:double>>"
