@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,19 +43,22 @@ def short_name(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+def _ends_with(name: Column, patterns: tuple[str, ...]) -> Column:
+    """endswith for any pattern: one set lookup for each length, so that the generated code stays
+    small however long the list is (a term for each pattern outgrows the JVM's method limit)."""
+    by_length: dict[int, list[str]] = {}
+    for p in dict.fromkeys(patterns):
+        by_length.setdefault(len(p), []).append(p)
+    return reduce(or_, (F.substring(name, -n, n).isin(ps) for n, ps in sorted(by_length.items())), F.lit(False))
+
+
 def _matches(name: Column, patterns: tuple[str, ...], whole: frozenset[str]) -> Column:
     """endswith for every pattern; equality of last segments too, unless the pattern
     is in `whole`. Null names match nothing. Plain expressions: no Python runs."""
+    hit = _ends_with(name, patterns)
     short = sorted({p.rsplit(".", 1)[-1] for p in patterns if p not in whole})
-    hit = F.lit(False)
-    for p in dict.fromkeys(patterns):
-        if p in whole:
-            hit = hit | name.endswith(p)
     if short:
         hit = hit | short_name(name).isin(short)
-        for p in dict.fromkeys(patterns):  # names that end in the pattern without a dot before it
-            if p not in whole:
-                hit = hit | name.endswith(p)
     return F.coalesce(hit, F.lit(False))
 
 
