@@ -300,3 +300,19 @@ def test_calls_and_stubs_come_from_all_of_lineitem(spark):
     assert {(r.src, r.dst) for r in testdata.view(spark, d, "g_calls").collect()} == want
     stubs = {f"s{o}_{n}" for (o, n), ks in parts.items() if n % 3 == 1 and min(ks) in methods}
     assert {r.id for r in testdata.view(spark, d, "g_stub").collect()} == stubs
+
+
+def test_paths_stay_distinct_where_nodes_share_a_label(spark):
+    """Two nodes named b give one chain; with names of their own they give two."""
+    starts, targets = spark.createDataFrame([("1", "a"), ("1", "a")], "node string, label string"), spark.createDataFrame([("4",)], "node string")
+    for names, want in ((("b", "b"), [["a", "b", "d"]]), (("b", "c"), [["a", "b", "d"], ["a", "c", "d"]])):
+        rows = [("1", "2", names[0]), ("1", "3", names[1]), ("2", "4", "d"), ("3", "4", "d"), ("4", "1", "a")]
+        edges = spark.createDataFrame(rows + rows[:1], "src string, dst string, label string")
+        assert sorted(r.chain for r in traverse.simple_paths(edges, starts, targets, 4).collect()) == want
+
+
+def test_patterns_match_as_endswith(spark):
+    pats, names = ("a.save", "save", "é.x"), ["a.save", "x.save", "ve", "é.x", "bé.x", "", None, "save\n"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r[0] for r in df.select(patterns._matches(F.col("n"), pats, frozenset(pats))).collect()]
+    assert got == [n is not None and n.endswith(pats) for n in names]
