@@ -75,6 +75,13 @@ def _of(fqns: DataFrame, col: str, wanted: str | list[str] | DataFrame | None) -
     return fqns.filter(F.col(col).isin([wanted] if isinstance(wanted, str) else list(wanted)))
 
 
+def _up(g: CodeGraph, exclude_generated: bool = False, include_synthetic: bool = False) -> DataFrame:
+    """Calls with callee, and fqn and file_path of a caller that has a file."""
+    calls = g.calls if include_synthetic else g.calls.filter(F.col("caller_arg_pos") != SYNTHETIC_ARG_POS)
+    to = g.method.select(F.col("id").alias("dst"), F.col("fqn").alias("callee"))
+    return _located(g, calls, "src", exclude_generated).join(to, "dst")
+
+
 def blast_radius(g: CodeGraph, method_fqn: str | list[str] | DataFrame | None = None, max_depth: int = 3, exclude_generated: bool = False,
                  include_synthetic: bool = False) -> DataFrame:
     """method_fqn, fqn, file_path, depth: transitive callers with their least depth (10 at most), of
@@ -84,9 +91,7 @@ def blast_radius(g: CodeGraph, method_fqn: str | list[str] | DataFrame | None =
     Callers without a file are neither listed nor passed.
     """
     seeds = _of(g.method.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node")).distinct(), "seed", method_fqn)
-    calls = g.calls if include_synthetic else g.calls.filter(F.col("caller_arg_pos") != SYNTHETIC_ARG_POS)
-    to = g.method.select(F.col("id").alias("dst"), F.col("fqn").alias("callee"))
-    up = _located(g, calls, "src", exclude_generated).join(to, "dst")
+    up = _up(g, exclude_generated, include_synthetic)
     edges = up.select(F.col("callee").alias("src"), F.col("fqn").alias("dst"))
     met = traverse.bfs(edges, seeds, min(max_depth, 10))
     paths = up.groupBy("fqn").agg(F.min("file_path").alias("file_path"))
@@ -212,10 +217,14 @@ def find_external_calls(g: CodeGraph, repo: str | None = None) -> DataFrame:
 
 def impacted_endpoints(g: CodeGraph, changed: list[str] | DataFrame | None = None, max_depth: int = 5) -> DataFrame:
     """http_method, path, handler_fqn, repo_name: endpoints whose handler is a changed
-    method or calls one within max_depth steps. changed: names, or a table (fqn); None: all methods."""
-    hit = blast_radius(g, changed, max_depth).select("fqn").distinct()
-    own = _of(g.method.select("fqn"), "fqn", changed)
-    return list_endpoints(g).join(hit.unionByName(own.distinct()).distinct(), F.col("handler_fqn") == F.col("fqn"), "left_semi")
+    method or calls one within max_depth steps (10 at most). changed: names, or a table (fqn); None: all methods.
+
+    One search from all changed methods at once: who is met matters, not from which of them.
+    """
+    own = _of(g.method.select("fqn").distinct(), "fqn", changed)
+    edges = _up(g).select(F.col("callee").alias("src"), F.col("fqn").alias("dst"))
+    hit = traverse.bfs(edges, own.select(F.lit(0).alias("seed"), F.col("fqn").alias("node")), min(max_depth, 10), True).select(F.col("node").alias("fqn"))
+    return list_endpoints(g).join(hit.unionByName(own), F.col("handler_fqn") == F.col("fqn"), "left_semi")
 
 
 def graph_nodes_edges(g: CodeGraph, repo: str | None = None, branch: str = "") -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from skein.operators import callgraph, resolve, security
+from skein.operators import callgraph, resolve
 from skein.plans import traverse
 from tests.test_graph import calls, method, rows, small
 
@@ -52,3 +52,12 @@ def test_calls_resolve_without_pairs_of_sites_and_methods_of_a_name(plain):
     got = rows(found, "site_id", "dst")
     assert got == sorted((f"s{i}", "m000" if i else "m001") for i in range(n))  # the least method but the caller itself
     assert most_rows(found) <= 2 * n
+
+
+def test_impacted_endpoints_search_once_for_all_changed_methods(spark, written):
+    n = 20
+    g = small(spark, method=[method(str(i), f"m{i}") for i in range(n)], calls=calls(*[(str(i), str((i + 1) % n)) for i in range(n)]),
+              endpoint=[{"id": f"e{i}", "http_method": "GET", "path": f"/{i}", "handler_method_id": str(i), "repo_id": "r"} for i in range(n)])
+    got = rows(callgraph.impacted_endpoints(g, [f"com.A.m{i}" for i in range(10)], 5), "path")
+    assert got == sorted((f"/{i}",) for i in [*range(10), *range(15, 20)])
+    assert sum(written) <= 2 * n  # the edges, and each method once
