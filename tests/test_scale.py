@@ -1,8 +1,10 @@
 """Work of the catalogue's operators: the rows that joins give and that rounds write, not only the results."""
 
+import re
+
 import pytest
 
-from skein.operators import callgraph, resolve
+from skein.operators import callgraph, resolve, security
 from skein.plans import traverse
 from tests.test_graph import calls, method, rows, small
 
@@ -81,3 +83,32 @@ def test_matches_stay_distinct_where_ids_repeat(spark):
     g = small(spark, rest_call=twice + [{"id": "d", "http_method": "PUT", "url_pattern": "/en/2", "caller_method_id": "a", "repo_id": "r"}], endpoint=ends)
     assert rows(resolve.cross_repo_matches(g), "src", "dst", "call_id") == [("a", "e", "c")]
     assert rows(resolve.resolve_cross_repo(g)[2], "matched", "unresolved") == [(4, 1)]
+
+
+def test_events_reach_listeners_without_a_shuffle_of_the_pairs(plain):
+    n = 20
+    g = small(plain, method=[method(f"w{i}", "run") for i in range(n)] + [method(f"h{i}", f"on{i}", annotations=["EventListener"]) for i in range(n)] + [method("h0", "again", annotations=["EventListener"], repo_id="q"), method("w0", "run", repo_id="q")]
+              + [method("p", "publishEvent")], calls=calls(*[(f"w{i}", "p") for i in range(n)], ("w0", "h1"), ("h0", "p")))
+    plain.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = resolve.application_events(g)
+        got = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        plain.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.src, r.dst, r.callee_name) for r in got) == sorted((w, f"h{i}", "again" if i == 0 and w == "w0" else f"on{i}") for w in [f"w{i}" for i in range(n)] + ["h0"] for i in range(n) if (w, i) not in (("w0", 1), ("h0", 0)))
+    above = plan[:plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in above and "Aggregate" not in above  # nothing is shuffled once pairs are formed
+
+
+def test_second_order_names_are_found_without_pairs_of_classes(plain):
+    n = 60
+    cls = [f"com.w.Writer{i:02}" for i in range(n)] + [f"com.r.Reader{i:02}" for i in range(n)] + ["com.r.Writer07Reader", "com.r.Writer0"]
+    g = small(plain, method=[method(c, "go", f"{c}.go") for c in cls] + [method("s", "save", "x.Y.save"), method("f", "findById", "x.Y.findById")],
+              calls=calls(*[(c, "s" if ".w." in c else "f") for c in cls]))
+    found = security.find_second_order_injection(g)
+    got = rows(found, "write_method_fqn", "read_method_fqn", "risk_level")
+    assert got == sorted([("com.w.Writer07.go", "com.r.Writer07Reader.go", "MEDIUM")] + [(f"com.w.Writer0{i}.go", "com.r.Writer0.go", "MEDIUM") for i in range(10)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # before, classes met on the repository alone, with a test of every pair
+    assert "NestedLoop" not in plan and not re.search(r"Join \[repo_name#\d+\].*Contains\(", plan)
