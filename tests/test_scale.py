@@ -112,3 +112,15 @@ def test_second_order_names_are_found_without_pairs_of_classes(plain):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # before, classes met on the repository alone, with a test of every pair
     assert "NestedLoop" not in plan and not re.search(r"Join \[repo_name#\d+\].*Contains\(", plan)
+
+
+def test_cross_service_lengths_equal_those_of_the_chains(spark, written):
+    n = 9
+    g = small(spark, method=[method(str(i), f"m{i}") for i in range(n)], calls=calls(*[(str(i), str(j % n)) for i in range(n) for j in (i + 1, i + 3)]),
+              endpoint=[{"id": f"e{i}", "http_method": "GET", "path": f"/{i}", "handler_method_id": str(i), "repo_id": "r"} for i in (0, 4)], exposes=[{"src": "r", "dst": "e0"}, {"src": "r", "dst": "e4"}],
+              rest_call=[{"id": f"u{i}", "http_method": "GET", "url_pattern": f"/x{i % 2}", "caller_method_id": str(i), "repo_id": "r"} for i in range(n)],
+              unresolved_call=[{"src": str(i), "dst": f"u{j}"} for i in range(n) for j in (i, i, (i + 1) % n)])
+    cols = ("repo_name", "source_handler_fqn", "source_endpoint", "sink_method_fqn", "sink_url_pattern", "sink_http_method", "path_length")
+    short = rows(security.find_cross_service_taint(g, max_depth=3, with_chain=False), *cols)
+    assert written  # rounds of bfs, whose rows are pairs of numbers
+    assert short == rows(security.find_cross_service_taint(g, max_depth=3), *cols) and len(short) > 2 * n
