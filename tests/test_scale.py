@@ -124,3 +124,25 @@ def test_cross_service_lengths_equal_those_of_the_chains(spark, written):
     short = rows(security.find_cross_service_taint(g, max_depth=3, with_chain=False), *cols)
     assert written  # rounds of bfs, whose rows are pairs of numbers
     assert short == rows(security.find_cross_service_taint(g, max_depth=3), *cols) and len(short) > 2 * n
+
+
+def test_the_last_round_of_paths_is_not_written(spark, written):
+    n = 12  # every method of a layer calls every one of the next
+    e = spark.createDataFrame([(f"{d}_{i}", f"{d + 1}_{j}", f"{d + 1}_{j}") for d in range(3) for i in range(n) for j in range(n)], "src string, dst string, label string")
+    starts = spark.createDataFrame([("0_0", "0_0")], "node string, label string")
+    ends = spark.createDataFrame([(f"3_{i}",) for i in range(n)], "node string")
+    assert traverse.simple_paths(e, starts, ends, 3).count() == n ** 3 > max(written)
+
+
+def test_blast_radius_travels_as_numbers(spark, monkeypatch):
+    kinds = {}
+
+    def seen(df, name, write=traverse.materialize):
+        kinds.setdefault(name, dict(df.dtypes))
+        return write(df, name)
+
+    monkeypatch.setattr(traverse, "materialize", seen)
+    g = small(spark, method=[method(str(i), f"m{i}") for i in range(4)], calls=calls(("0", "1"), ("1", "2"), ("2", "0"), ("2", "3")))
+    assert rows(callgraph.blast_radius(g, max_depth=2), "method_fqn", "fqn", "depth") == sorted(
+        (f"com.A.m{a}", f"com.A.m{b}", d) for a, b, d in ((1, 0, 1), (2, 1, 1), (0, 2, 1), (3, 2, 1), (1, 2, 2), (2, 0, 2), (0, 1, 2), (3, 1, 2)))
+    assert kinds["bfs"] == {"seed": "bigint", "node": "bigint"}
