@@ -146,3 +146,16 @@ def test_blast_radius_travels_as_numbers(spark, monkeypatch):
     assert rows(callgraph.blast_radius(g, max_depth=2), "method_fqn", "fqn", "depth") == sorted(
         (f"com.A.m{a}", f"com.A.m{b}", d) for a, b, d in ((1, 0, 1), (2, 1, 1), (0, 2, 1), (3, 2, 1), (1, 2, 2), (2, 0, 2), (0, 1, 2), (3, 1, 2)))
     assert kinds["bfs"] == {"seed": "bigint", "node": "bigint"}
+
+
+def test_blast_radius_writes_no_pairs(plain, written, monkeypatch):
+    n = 30
+    g = small(plain, method=[method(str(i), f"m{i}") for i in range(n)], calls=calls(*[(str(i), str((i + k) % n)) for i in range(n) for k in (1, 2, 3)]))
+    want = sorted((f"com.A.m{i}", f"com.A.m{(i - k) % n}", -(-k // 3)) for i in range(n) for k in range(1, 10))
+    found = callgraph.blast_radius(g, max_depth=3)
+    assert rows(found, "method_fqn", "fqn", "depth") == want
+    assert sum(written) == 3 * n + n < len(want)  # edges and seeds
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")].replace("BroadcastExchange", "")  # no list or pair is shuffled
+    monkeypatch.setattr(traverse, "EDGES_AT_HAND", 0)  # more edges than a task may hold: the rounds of bfs
+    assert rows(callgraph.blast_radius(g, max_depth=3), "method_fqn", "fqn", "depth") == want
