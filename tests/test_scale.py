@@ -159,3 +159,18 @@ def test_blast_radius_writes_no_pairs(plain, written, monkeypatch):
     assert "Exchange" not in plan[:plan.index("MapInArrow")].replace("BroadcastExchange", "")  # no list or pair is shuffled
     monkeypatch.setattr(traverse, "EDGES_AT_HAND", 0)  # more edges than a task may hold: the rounds of bfs
     assert rows(callgraph.blast_radius(g, max_depth=3), "method_fqn", "fqn", "depth") == want
+
+
+def test_cross_service_pairs_meet_requests_once_each(plain, written):
+    n, times = 12, 40
+    g = small(plain, method=[method(str(i), f"m{i}") for i in range(n)], calls=calls(*[(str(i), str(j)) for i in range(n) for j in range(n) if i != j]),
+              endpoint=[{"id": f"e{i}", "http_method": "GET", "path": f"/{i}", "handler_method_id": str(i), "repo_id": "r"} for i in range(n)], exposes=[{"src": "r", "dst": f"e{i}"} for i in range(n)],
+              rest_call=[{"id": f"u{j}", "http_method": "GET", "url_pattern": None if j % 4 == 0 else f"/x{j % 2}", "caller_method_id": "0", "repo_id": "r"} for j in range(times)],
+              unresolved_call=[{"src": str(i), "dst": f"u{j}"} for i in range(n) for j in range(times)])
+    found = security.find_cross_service_taint(g, max_depth=6, with_chain=False)
+    got = found.collect()
+    assert len(got) == n * (n - 1) * times and {r.path_length for r in got} == {1}
+    assert sum(r.sink_url_pattern is None for r in got) == len(got) // 4
+    assert sum(written) == n * (n - 1) + n  # edges and seeds
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")].replace("BroadcastExchange", "")  # no list or pair is shuffled
