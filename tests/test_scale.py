@@ -174,3 +174,16 @@ def test_cross_service_pairs_meet_requests_once_each(plain, written):
     assert sum(written) == n * (n - 1) + n  # edges and seeds
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[:plan.index("MapInArrow")].replace("BroadcastExchange", "")  # no list or pair is shuffled
+
+
+def test_events_come_in_runs_of_one_listener(plain, tmp_path):
+    import pyarrow.parquet as pq
+
+    p, n = 1000, 60
+    ids = [f"w{i}" for i in range(p)]
+    g = small(plain, method=[method(w, "run") for w in ids] + [method(f"h{i}", f"on{i}", annotations=["EventListener"]) for i in range(n)] + [method("p", "publishEvent")], calls=calls(*[(w, "p") for w in ids], ("w0", "h1")))
+    found = resolve.application_events(g)
+    found.write.parquet(str(tmp_path / "out"))
+    assert sorted(plain.read.parquet(str(tmp_path / "out")).select("src", "dst").collect()) == sorted((w, f"h{i}") for w in ids for i in range(n) if (w, i) != ("w0", 1))
+    heard = [pq.read_table(f)["dst"].to_pylist() for f in (tmp_path / "out").glob("*.parquet")]
+    assert sum(a != b for x in heard for a, b in zip(x, x[1:])) <= n  # before, nearly every row had another listener than the one above
